@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from specula.llm import exact_dedup
+from specula.llm import byte_bpe, chat_format, exact_dedup, html_extract
 from specula.llm.common import read
 
 
 def queries():
     return {
+        "op1_html_extract": lambda spark, d: html_extract.op1_html_extract(read(spark, d, "pages")),
+        "op3_byte_bpe": lambda spark, d: byte_bpe.op3_byte_bpe(read(spark, d, "documents")),
         "op4_exact_dedup": lambda spark, d: exact_dedup.op4_exact_dedup(read(spark, d, "documents")),
+        "op9_chat_format": lambda spark, d: chat_format.op9_chat_format(read(spark, d, "conversations")),
     }
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op9_chat_format": chat_format.OP9_SQL}
