@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specula.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dup, substring_dedup
+from specula.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, line_dedup, near_dup, substring_dedup
 from specula.llm.common import read
 
 
@@ -12,6 +12,7 @@ def queries():
         "op2_line_dedup": lambda spark, d: line_dedup.op2_line_dedup(read(spark, d, "documents")),
         "op3_byte_bpe": lambda spark, d: byte_bpe.op3_byte_bpe(read(spark, d, "documents")),
         "op4_exact_dedup": lambda spark, d: exact_dedup.op4_exact_dedup(read(spark, d, "documents")),
+        "op5_decontaminate": lambda spark, d: decontaminate.op5_decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op6_near_dup": lambda spark, d: near_dup.op6_near_dup(read(spark, d, "documents")),
         "op8_substring_dedup": lambda spark, d: substring_dedup.op8_substring_dedup(read(spark, d, "documents")),
         "op9_chat_format": lambda spark, d: chat_format.op9_chat_format(read(spark, d, "conversations")),
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_line_dedup": line_dedup.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op6_near_dup": near_dup.OP6_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op2_line_dedup": line_dedup.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op6_near_dup": near_dup.OP6_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
