@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specula.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, line_dedup, near_dup, substring_dedup
+from specula.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dup, substring_dedup
 from specula.llm.common import read
 
 
@@ -14,6 +14,7 @@ def queries():
         "op4_exact_dedup": lambda spark, d: exact_dedup.op4_exact_dedup(read(spark, d, "documents")),
         "op5_decontaminate": lambda spark, d: decontaminate.op5_decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op6_near_dup": lambda spark, d: near_dup.op6_near_dup(read(spark, d, "documents")),
+        "op7_language_id": lambda spark, d: language_id.op7_language_id(read(spark, d, "documents")),
         "op8_substring_dedup": lambda spark, d: substring_dedup.op8_substring_dedup(read(spark, d, "documents")),
         "op9_chat_format": lambda spark, d: chat_format.op9_chat_format(read(spark, d, "conversations")),
     }
