@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from specula.llm.common import text_chunks
 
@@ -217,8 +218,8 @@ def load_vocabulary(path: str) -> bytes:
     return data
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded binary) of every row, without special tokens.
+def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids array<int>, decoded binary) of every row, without special tokens; the columns ``carry`` come along.
 
     Null and empty texts have no ids and decode to nothing. Rows are independent: repeated rows give repeated results, an
     empty table an empty result, other columns are not read. Texts of any length are encoded whole.
@@ -228,22 +229,25 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
     def run(batches):
         bpe = encoder(vocabulary.value, pattern)
         for batch in batches:
-            for first, end, *_ in text_chunks(batch, "text"):
-                texts = [t or "" for t in batch.column("text").slice(first, end - first).to_pylist()]
+            for first, end, *_ in text_chunks(batch, 0):
+                texts = [t or "" for t in batch.column(0).slice(first, end - first).to_pylist()]
                 ids, offsets = bpe.encode(texts)
                 listed = ids.tolist()
                 back = [bpe.decode(listed[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(first, end - first),
+                        *(batch.column(k).slice(first, end - first) for k in places),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
                         pa.array(back, pa.binary()),
                     ],
-                    ["id", "ids", "decoded"],
+                    [*names, "ids", "decoded"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded binary")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    names = rows.columns[1:]
+    places = range(1, len(rows.columns))
+    schema = StructType([*rows.schema.fields[1:], StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
 
 
 def op3_byte_bpe(docs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def text_chunks(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20):
     """Row ranges of a batch holding about ``most`` bytes of text each: (first row, end row, bytes, offsets).
 
     The bytes of null rows are empty. A single text longer than ``most`` is a chunk of its own.

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from specula.llm.common import text_chunks
 from specula.llm.tokens import U, fmix, splitmix
@@ -195,12 +196,15 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(languages, whole[:, : 1 << BITS], whole[:, 1 << BITS :], np.array([counts[k] for k in languages], np.float64))
 
 
+SPANS = ArrayType(StructType().add("lang", StringType()).add("first", IntegerType()).add("n", IntegerType()))
 _models: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang_pred, score, spans): language and spans of every whole text, from the text alone.
 
+    The columns ``carry`` come along under their names; the prediction doesn't read them.
+
     spans: array of (lang, first, n): n words, counted among the words of letters, from number first on. A text that is
     null or has no letter is UNKNOWN with score 0 and no spans. Ties go to the language first in the alphabet. Repeated
     rows give repeated results, an empty table an empty result; other columns are not read.
@@ -215,8 +219,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         of = _models[key]
         names = pa.array([*of.languages, UNKNOWN])
         for batch in batches:
-            for begin, end, *_ in text_chunks(batch, "text", 2 << 20):
-                texts = batch.column("text").slice(begin, end - begin).to_pylist()
+            for begin, end, *_ in text_chunks(batch, 0, 2 << 20):
+                texts = batch.column(0).slice(begin, end - begin).to_pylist()
                 split = [[w for w in _WORD.findall(t or "") if w[0].isalpha()] if of.languages else [] for t in texts]
                 label, firsts = of.label(split)
                 letters = np.fromiter((len(w) for t in split for w in t), np.float64, len(label))
@@ -238,16 +242,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(begin, end - begin),
+                        *(batch.column(k).slice(begin, end - begin) for k in places),
                         names.take(pa.array(np.where(empty, len(of.languages), best))),
                         pa.array(np.where(empty, 0.0, share)),
                         spans,
                     ],
-                    ["id", "lang_pred", "score", "spans"],
+                    [*carried, "lang_pred", "score", "spans"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<lang:string,first:int,n:int>>")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    carried, places = rows.columns[1:], range(1, len(rows.columns))
+    schema = StructType(rows.schema.fields[1:]).add("lang_pred", StringType()).add("score", DoubleType()).add("spans", SPANS)
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
+
+
+def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text shows a language: it isn't null and has a letter."""
+    out = identify(docs, model, id_col, text_col, carry=tuple(docs.columns))
+    return out.filter(F.col("lang_pred") != UNKNOWN).drop("id", "lang_pred", "score", "spans")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -16,18 +16,19 @@ SIZE = 3
 BREAK = "\n"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, text, n_lines, n_removed) of every row: without the lines of windows whose lines stand earlier.
 
     Lines end at a line feed. Earlier is a smaller id, or a higher place in the same text; windows may overlap and are
     judged on the input. Windows of blank lines only don't count. Lines are compared as they are, by a 128-bit digest in
     which their lengths keep the breaks apart. Texts of fewer than ``size`` lines stay whole, null stays null with 0 lines,
     an empty text has one line. Rows that repeat an id are as early as each other. A null id counts as the smallest. An
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; the columns ``carry`` come along in the struct ``row``, others are not read.
     """
     lowest = F.lit(-(1 << 63))
     lines = F.split(F.col("text"), BREAK, -1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"))
+    # Columns of any names travel as one struct.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"), F.struct(*carry).alias("row") if carry else F.lit(0).alias("row"))
     each = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.array_join(F.slice("lines", i + 1, size), BREAK))
     windows = (
         rows.select("id", lines.alias("lines"))
@@ -56,10 +57,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.array_join("kept", BREAK)).alias("text"),
             F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
             F.when(F.col("marks").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
+            *(["row"] if carry else []),
         )
     )
 
 
+def line_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """docs with the text column as ``line_dedup`` leaves it; all other columns and all rows stay."""
+    out = line_dedup(docs, id_col, text_col, size, carry=tuple(docs.columns))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op2_line_dedup(docs: DataFrame) -> DataFrame:
     return line_dedup(docs).withColumnRenamed("id", "doc_id")
 
