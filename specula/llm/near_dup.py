@@ -8,10 +8,13 @@ fail to meet with a probability below MISS.
    which only the smallest id goes on, so thousands of copies cost one row.
 2. Collections that a second class shares are found first (m short rows a class); only the classes that share two or more
    form pair keys, and only from these. Classes without any neighbour drop out here.
-3. In every table bucket each class is compared with the bucket's most connected member; links are confirmed on the sets
+3. A class with more shingles that no other involved class has than a link leaves room for drops out; that is exact.
+4. In every table bucket each class is compared with the bucket's most connected member; links are confirmed on the sets
    and joined to components. Buckets that still hold several components go on: small ones with all pairs across
-   components, large ones with the next central member, and what a few rounds leave, with all pairs across components.
-   So no link between classes that met is lost, while members of one component are not compared again.
+   components, large ones with the next central member, and what a few rounds leave, with all pairs across components whose
+   differences from a centre allow a link: the sets' difference is that of their differences D from the centre, so
+   sets of distant sizes of D can't be linked, nor such as share too little of D. So no link between classes that met
+   is lost, while members of one component are not compared again.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from specula.llm.tokens import U, Lane, fmix, shingle_sets, splitmix, words
 
 #: Minima in a collection, and the share of pairs at the threshold that may fail to meet in any table.
 H, MISS = 3, 1e-4
-#: A bucket of at most so many classes is compared in full in one round; larger ones have ROUNDS central members first.
-SMALL, ROUNDS = 24, 3
+#: A bucket of at most so many classes is compared in full in one round; larger ones have ROUNDS central members first, and
+#: then all pairs whose differences from a centre let them be linked.
+SMALL, ROUNDS = 24, 2
 
 
 def collections_for(percent: int, h: int = H, miss: float = MISS) -> int:
@@ -116,7 +120,7 @@ def _members(classes: DataFrame) -> DataFrame:
         .select("id", "n", F.explode(F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.xxhash64(x, y))))).alias("key"))
     )
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return keys.join(sizes, "key").select("key", "id", "n", "size")
+    return keys.join(sizes, "key").select("key", "id", "n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,71 +149,146 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     )
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a class no other involved class has; classes without any are left out."""
+    one = sets.select("id", F.explode("shingles").alias("s"))
+    single = one.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).filter("k = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _room(own, n, other, percent: int):
+    """Whether a set of n shingles, ``own`` of them in no other set, can be linked with one of ``other`` shingles.
+
+    A link needs (100 + percent) * intersection >= percent * (n + other), and the intersection is n - own at most.
+    """
+    return (100 + percent) * (F.least(n - own, other)) >= percent * (n + other)
+
+
 def _link(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes with a confirmed link."""
     spark = docs.sparkSession
     involved = members.select("id").distinct()
     sets = written(shingles(docs.join(involved, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-    # The sum of a class's bucket sizes: what everything around resembles scores highest and makes a good centre.
-    weight = members.groupBy("id").agg(F.sum("size").alias("w"))
-    members = members.join(weight, "id")
+    # Shingles of its own rule out what a class meets only by resemblance below the threshold: no partner has them.
+    members = members.select("key", "id", "n").join(_alone(sets), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    members = written(members.filter((100 - percent) * F.col("n") >= 100 * F.col("own")), "members")
     links = spark.createDataFrame([], "u long, v long")
     labels = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "u long, v long")
     for step in range(ROUNDS + 1):
-        if step == 0:
-            held = members.withColumn("component", F.col("id"))
-            central = held.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("c"))
-            pairs = (
-                held.join(central, "key")
-                .filter("id <> c.id")
-                .groupBy("id", "n")
-                .agg(F.max("c").alias("c"))
-                .select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("other_n"))
-            )
+        held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # The smallest set of a bucket leaves most room; who has none even with it meets nobody there.
+        least = held.groupBy("key").agg(F.min("n").alias("least"))
+        held = held.join(least, "key").filter(_room(F.col("own"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent))
+        buckets = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+        held = written(held.join(buckets.select("key", "size"), "key").select("key", "id", "n", "own", "size", "component"), "mixed")
+        # The sum of a class's bucket sizes: what everything around resembles scores highest and makes a good centre.
+        weight = held.groupBy("id").agg(F.sum("size").alias("w"))
+        if step == ROUNDS:
+            pairs = _rest(held, weight, sets, percent)
         else:
-            held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("w", "id", "n", "component")).alias("c"))
-            mixed = mixed.filter("lo < hi")
-            held = written(held.join(mixed.select("key", "c"), "key").select("key", "id", "n", "size", "component", "w", "c"), "mixed")
-            small = F.lit(True) if step == ROUNDS else F.col("size") <= SMALL
-            left, right = held.filter(small), held.filter(small)
-            across = left.alias("l").join(
-                right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") > F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & _fits("l.n", "r.n", percent)
-            ).select(F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("r.id").alias("other"), F.col("r.n").alias("other_n"))
-            star = held.filter(~small & (F.col("component") != F.col("c.component"))).select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("other_n"))
-            pairs = across.unionByName(star)
-            # The next centre of a large bucket is another one: what has been a centre weighs nothing any more.
-            used = held.filter(~small).select(F.col("c.id").alias("id")).distinct().withColumn("used", F.lit(True))
-            members = held.filter(~small).drop("c", "component").join(used, "id", "left").withColumn("w", F.when(F.col("used"), F.lit(0).cast("long")).otherwise(F.col("w"))).drop("used")
-        pairs = (
-            pairs.filter(_fits("n", "other_n", percent))
-            .select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v"))
-            .distinct()
-            .join(tried, ["u", "v"], "left_anti")
-        )
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if step and (step == ROUNDS or members.isEmpty()):
-                break
-            continue
-        tried = tried.unionByName(pairs)
-        confirmed = written(_confirm(pairs, sets, percent), "confirmed")
-        links = links.unionByName(confirmed)
-        labels = written(components(links), "labels")
+            small = (F.col("size") <= SMALL) & F.lit(step > 0)
+            large = held.filter(~small).join(weight, "id")
+            centre = large.groupBy("key").agg(F.max(F.struct("w", "id", "n", "own", "component")).alias("c"))
+            star = large.join(centre, "key").filter((F.col("id") != F.col("c.id")) & (F.col("component") != F.col("c.component")))
+            if step == 0:
+                # A class only needs the best of its buckets' centres at first.
+                star = star.groupBy("id", "n", "own").agg(F.max("c").alias("c"))
+            pairs = star.filter(_linkable("n", "own", "c.n", "c.own", percent)).select("id", F.col("c.id").alias("other"))
+            if step:
+                pairs = pairs.unionByName(_across(held.filter(small), percent))
+        pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+        pairs = written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if step and step < ROUNDS:
+            # Small buckets are done; a large one's centre has met everybody there.
+            used = centre.select("key", F.col("c.id").alias("id"))
+            members = written(large.select("key", "id", "n", "own").join(used, ["key", "id"], "left_anti"), "members")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            links = links.unionByName(written(_confirm(pairs, sets, percent), "confirmed"))
+            labels = written(components(links), "labels")
+        if step and members.isEmpty():
+            break
     return labels
 
 
-def _fits(a: str, b: str, percent: int):
-    """Sets whose sizes are further apart can't be that similar."""
-    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+def _across(held: DataFrame, percent: int) -> DataFrame:
+    """(id, other): the pairs across components of buckets of at most SMALL classes."""
+    keys = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most a class's tables
+    mates = held.join(keys, "id")
+    left, right = mates.alias("l"), mates.alias("r")
+    # Two classes may share many buckets: the first of them emits the pair.
+    return left.join(
+        right,
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.id") > F.col("r.id"))
+        & (F.col("l.component") != F.col("r.component"))
+        & _linkable("l.n", "l.own", "r.n", "r.own", percent)
+        & (F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")),
+    ).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+#: Parts that the comparisons of one joined bucket are dealt to.
+PARTS = 32
+
+
+def _rest(held: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, other): the pairs across components of large buckets whose differences from a centre allow a link.
+
+    Buckets that share classes become one, in which every pair is met once. Of each class the size d of the difference from
+    the centre is known. A link allows a difference of a certain width, and sizes of D can't be further apart than it, so
+    only neighbouring bands of d meet.
+    """
+    lowest = held.groupBy("key").agg(F.min("id").alias("v"))
+    joined = components(held.join(lowest, "key").select(F.col("id").alias("u"), "v"))
+    rows = held.select("id", "n", "own", "component").distinct().join(weight, "id").join(joined.select(F.col("node").alias("id"), F.col("component").alias("key")), "id")
+    rows = written(rows, "rest")
+    centre = rows.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("c"), F.max("n").alias("most"))
+    rows = rows.join(centre, "key").withColumns({"u": F.greatest("id", "c.id"), "v": F.least("id", "c.id")})
+    both = _intersections(rows.filter("u <> v").select("u", "v"), sets)
+    d = F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("n") + F.col("c.n") - 2 * F.col("both"))
+    width = F.floor((100 - percent) * 2 * F.col("most") / (100 + percent)) + 1
+    rows = rows.join(both.select("u", "v", "both"), ["u", "v"], "left").withColumn("d", d)
+    rows = written(rows.select("key", "id", "n", "own", "component", "d", F.floor(F.col("d") / width).alias("band")), "differences")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).alias("l")
+    right = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("r")
+    return left.join(
+        right,
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.band") == F.col("r.band"))
+        & (F.col("l.part") == F.col("r.part"))
+        & (F.col("l.id") > F.col("r.id"))
+        & (F.col("l.component") != F.col("r.component"))
+        & _linkable("l.n", "l.own", "r.n", "r.own", percent)
+        & _share("l", "r", percent),
+    ).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
+
+
+def _share(left: str, right: str, percent: int):
+    """Whether differences from one centre let be linked: |A ^ B| = |D| + |D'| - 2 |D & D'|, and no one shares its own."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    allowed = (100 - percent) * (of(left, "n") + of(right, "n"))
+    shared = F.least(of(left, "d") - of(left, "own"), of(right, "d") - of(right, "own"))
+    return (100 + percent) * (of(left, "d") + of(right, "d") - 2 * shared) <= allowed
+
+
+def _linkable(n: str, own: str, other: str, other_own: str, percent: int):
+    """What sizes and shingles of their own let be linked."""
+    n, own, other, other_own = F.col(n), F.col(own), F.col(other), F.col(other_own)
+    return _room(own, n, other, percent) & _room(other_own, other, n, percent)
+
+
+def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with the sizes of their sets (na, nb) and of the intersection (both)."""
     one = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(one, "u").join(two, "v").filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    found = pairs.join(one, "u").join(two, "v")
+    return found.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _intersections(pairs, sets).filter(f"100 * both >= {percent} * (na + nb - both)").select("u", "v")
 
 
 def op6_near_dup(docs: DataFrame) -> DataFrame:
