@@ -79,7 +79,7 @@ def bootstrap(long: DataFrame, order: str, positive: str = "Fake", resamples: in
     one task, which holds its values, one per video; this is for video tables, not for frames.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values("at", kind="stable").dropna(subset=["label", "value"])
         pos = rows.loc[rows["label"] == positive, "value"].to_numpy(float)
         neg = rows.loc[rows["label"] != positive, "value"].to_numpy(float)
