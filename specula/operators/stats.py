@@ -18,6 +18,8 @@ REPORT = (
     " cohen_d_fake_minus_real n_fake n_real missing_rate real_mean fake_mean"
 ).split()
 RESAMPLES, LEVEL, SEED = 1000, 0.95, 42
+#: Ranges of a metric's values that are ranked apart.
+RANGES = 64
 
 
 def _positive(positive: str):
@@ -27,14 +29,22 @@ def _positive(positive: str):
 def auc(long: DataFrame, positive: str = "Fake") -> DataFrame:
     """(metric, auc): the chance that a positive scores higher, ties half; NaN if a side is empty.
 
-    Values are counted by (metric, value) first, so the window that adds up the negatives below runs over distinct values
-    and the shuffle carries those; equal to comparing all pairs.
+    Equal to comparing all pairs. Values are counted by (metric, value) first. The negatives below a value are those of lower
+    ranges of values plus those below it in its own range, so no window holds more than a range of a metric; the ranges'
+    bounds are approximate quantiles, RANGES of them for each metric.
     """
     v = finite("value")
     counts = long.select("metric", v.alias("v"), _positive(positive).alias("pos")).filter("v IS NOT NULL")
     counts = counts.groupBy("metric", "v").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2.0)).groupBy("metric").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    steps = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    bounds = counts.groupBy("metric").agg(F.percentile_approx("v", steps, 1000).alias("bounds"))
+    placed = counts.join(bounds, "metric").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    sums = placed.groupBy("metric", "range").agg(F.sum("n").alias("rn"))
+    lower = F.coalesce(F.sum("rn").over(Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.join(sums.withColumn("lower", lower).drop("rn"), ["metric", "range"])
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("metric", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = F.col("p") * (F.col("lower") + within + F.col("n") / 2.0)
+    summed = placed.withColumn("won", won).groupBy("metric").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     pairs = F.nullif((F.col("p") * F.col("n")).cast("double"), F.lit(0.0))
     found = summed.select("metric", (F.col("won") / pairs).alias("auc"))
     names = long.select("metric").distinct()
@@ -97,7 +107,8 @@ def bootstrap(long: DataFrame, order: str, positive: str = "Fake", resamples: in
 
     rows = long.select("metric", "label", F.col("value").cast("double").alias("value"), F.col(order).alias("at"))
     found = rows.groupBy("metric").applyInPandas(run, "metric string, lo double, hi double, sd double")
-    return found.withColumnsRenamed({"lo": "auc_abs_ci_low", "hi": "auc_abs_ci_high", "sd": "auc_abs_bootstrap_std"})
+    nan = F.lit(float("nan"))  # pandas hands NaN back as null
+    return found.select("metric", *(F.coalesce(c, nan).alias(n) for c, n in (("lo", "auc_abs_ci_low"), ("hi", "auc_abs_ci_high"), ("sd", "auc_abs_bootstrap_std"))))
 
 
 def report(long: DataFrame, order: str | None = None, positive: str = "Fake", negative: str = "Real", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
