@@ -36,10 +36,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+
+    Joins with it are told to sort and merge: Parquet files tell little of their size in memory, so Spark's own limit on
+    what it broadcasts is no bound for them.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -179,7 +179,9 @@ def _link(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
         held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         # The smallest set of a bucket leaves most room; who has none even with it meets nobody there.
         least = held.groupBy("key").agg(F.min("n").alias("least"))
-        held = held.join(least, "key").filter(_room(F.col("own"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent))
+        # Written right behind the join, so that Spark may split a hot bucket among tasks; sizes are combined before their shuffle.
+        room = _room(F.col("own"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent)
+        held = written(held.join(least, "key").filter(room), "held")
         buckets = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
         held = written(held.join(buckets.select("key", "size"), "key").select("key", "id", "n", "own", "size", "component"), "mixed")
         # The sum of a class's bucket sizes: what everything around resembles scores highest and makes a good centre.
