@@ -60,7 +60,8 @@ class _Level:
         self.low, self.high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
 
     def runs(self, salt: np.uint64) -> None:
-        """Name maximal runs; whether a symbol is in one depends on both neighbours. Overlong runs stay as they are."""
+        """Name maximal runs; whether a symbol is in one depends on both neighbours. Overlong runs stay as they are, but that
+        they are overlong depends on all of them."""
         low, high = self._neighbours()
         low, high = np.minimum(low, self.low), np.maximum(high, self.high)
         head = np.ones(len(self.names), bool)
@@ -68,7 +69,11 @@ class _Level:
         at = np.flatnonzero(head)
         size = np.diff(np.append(at, len(head)))
         fits = self.ends[np.append(at[1:], len(head)) - 1] - self.starts[at] <= LONGEST
-        head |= ~np.repeat(fits, size)
+        over = np.repeat(~fits, size)
+        if over.any():
+            low = np.where(over, np.repeat(np.minimum.reduceat(low, at), size), low)
+            high = np.where(over, np.repeat(np.maximum.reduceat(high, at), size), high)
+        head |= over
         names = self.names.copy()
         long = at[fits & (size > 1)]
         names[long] = fmix(self.names[long] * U(3) + size[fits & (size > 1)].astype(np.uint64) + salt)
