@@ -5,7 +5,8 @@ shingle set and every partition is searched in pieces of documents of a matching
 u/2 and at most u shingles looks at every 3 consecutive half-blocks of u/2 shingles; some such piece holds all of an
 item that stands in one place. Item and piece then have a similarity of at least LEAST_SIMILARITY where the item's
 containment is at the threshold, and with HASHES minima of one table each they meet but for a chance of MISS. Minima of
-half-blocks are taken once for the smallest size and combined for the larger ones. Every (document, item) that meets is
+half-blocks are taken once for the smallest size and combined for the larger ones. Items of at most SMALLEST/2 shingles are
+a partition that is looked up by all its shingles. Every (document, item) that meets is
 verified on the whole sets of both.
 
 Items are searched in blocks of bounded size: what a block's items have of minima and shingles is broadcast, the documents
@@ -39,35 +40,47 @@ class Index:
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
-        self.salts, self.odds = splitmix(171, HASHES), splitmix(172, HASHES) | U(1)
-        sizes = np.array([max(SMALLEST, 1 << (len(s) - 1).bit_length()) for s in sets], np.int64)
+        small = np.array([i for i, s in enumerate(sets) if len(s) <= SMALLEST // 2], np.int64)
         self.bits = max(16, int(16 * len(sets)).bit_length()) if len(sets) < 1 << 20 else 24
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for u in sorted(set(sizes.tolist())):
+        # Of a handful of shingles the minima are the set itself.
+        self.tiny = self._table(np.concatenate([sets[i] for i in small]), np.repeat(small, [len(sets[i]) for i in small])) if len(small) else None
+        self.salts, self.odds = splitmix(171, HASHES), splitmix(172, HASHES) | U(1)
+        sizes = np.array([1 << (len(s) - 1).bit_length() if len(s) > SMALLEST // 2 else 0 for s in sets], np.int64)
+        self.parts: dict[int, list[tuple]] = {}
+        for u in sorted(set(sizes.tolist()) - {0}):
             members = np.flatnonzero(sizes == u)
-            rows = []
-            for k in range(HASHES):
-                low = np.array([((self.sets[i] ^ self.salts[k]) * self.odds[k]).min() for i in members], np.uint64)
-                order = np.argsort(low, kind="stable")
-                table = np.zeros(1 << self.bits, bool)
-                table[(low & U((1 << self.bits) - 1)).astype(np.int64)] = True
-                rows.append((low[order], members[order], table))
-            self.parts[u] = rows
+            lows = [np.array([((sets[i] ^ self.salts[k]) * self.odds[k]).min() for i in members], np.uint64) for k in range(HASHES)]
+            self.parts[u] = [self._table(low, members) for low in lows]
+
+    def _table(self, values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted values, whose they are, and a table of their low bits that tells most others apart at once."""
+        order = np.argsort(values, kind="stable")
+        table = np.zeros(1 << self.bits, bool)
+        table[(values & U((1 << self.bits) - 1)).astype(np.int64)] = True
+        return values[order], owners[order], table
+
+    def _hits(self, part, values: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
+        held, owners, table = part
+        hit = np.flatnonzero(table[(values & U((1 << self.bits) - 1)).astype(np.int64)])
+        a, b = np.searchsorted(held, values[hit], "left"), np.searchsorted(held, values[hit], "right")
+        return {(int(row[h]), int(i)) for h, x, y in zip(hit[b > a], a[b > a], b[b > a]) for i in owners[x:y]}
 
     def search(self, values: np.ndarray, firsts: np.ndarray):
         """(row, item) that meet. values: the shingles of texts in order, firsts: number of each text's first."""
         n = len(values)
-        if not n or not self.parts:
-            return []
+        if not n:
+            return set()
         counts = np.diff(firsts)
         row = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(n) - firsts[:-1][row]
+        found = self._hits(self.tiny, values, row) if self.tiny else set()
+        if not self.parts:
+            return found
         base = SMALLEST // 2
         at = np.flatnonzero(place % base == 0)
         low = np.stack([np.minimum.reduceat((values ^ self.salts[k]) * self.odds[k], at) for k in range(HASHES)])
         row, place = row[at], place[at] // base
-        found, size = set(), base
-        mask = U((1 << self.bits) - 1)
+        size = base
         while True:
             if (part := self.parts.get(2 * size)) is not None:
                 m = len(row)
@@ -76,12 +89,7 @@ class Index:
                     for step in (1, 2):
                         same = row[step:] == row[: m - step] if m > step else np.zeros(0, bool)
                         piece[: max(m - step, 0)] = np.where(same, np.minimum(piece[: max(m - step, 0)], low[k][step:]), piece[: max(m - step, 0)])
-                    mins, members, table = part[k]
-                    hit = np.flatnonzero(table[(piece & mask).astype(np.int64)])
-                    if len(hit):
-                        a, b = np.searchsorted(mins, piece[hit], "left"), np.searchsorted(mins, piece[hit], "right")
-                        for h, x, y in zip(hit[b > a], a[b > a], b[b > a]):
-                            found.update((int(row[h]), int(i)) for i in members[x:y])
+                    found |= self._hits(part[k], piece, row)
             if not any(u > 2 * size for u in self.parts):
                 return found
             at = np.flatnonzero(place % 2 == 0)
@@ -97,27 +105,59 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: i
     result; other columns are not read. Documents are read whole; the search needs the larger part of an item within about
     its own length, while verification counts its shingles anywhere in the document.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def pairs(batch, found):
+        ids = batch.column("id").to_pylist()
+        hits = [(ids[r], *more) for r, *more in found]
+        if hits:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*hits)], ["doc_id", "item_id", "n_item", "n_shared"])
+
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for held in _blocks(items, width, item_id, item_text):
+        out = out.unionByName(rows.mapInArrow(_searcher(held, width, percent, "text", pairs), FOUND))
+    return out
+
+
+FOUND = "doc_id long, item_id long, n_item long, n_shared long"
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item; the search is that of ``find_contained``.
+
+    Rows are dropped where they are read, so no text is shuffled; each block of items is one pass over what is left.
+    """
+
+    def rest(batch, found):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[r for r, *_ in found]] = False
+        yield batch.filter(pa.array(keep))
+
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows, at = docs.toDF(*names), names[docs.columns.index(text_col)]
+    for held in _blocks(items, width, item_id, item_text):
+        rows = rows.mapInArrow(_searcher(held, width, percent, at, rest), rows.schema)
+    return rows.toDF(*docs.columns)
+
+
+def _blocks(items: DataFrame, width: int, item_id: str, item_text: str):
+    """Broadcasts of about BLOCK_SHINGLES shingles each, which together hold every item that has any."""
     named = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     sets = shingles(named, width).filter(F.size("shingles") > 0)
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_SHINGLES))
-    out = None
+    blocks = math.ceil(total / BLOCK_SHINGLES)
     for k in range(blocks):
-        block = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == k).toArrow()  # about BLOCK_SHINGLES long values
-        ids = block.column("id").to_pylist()
+        block = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == k).toArrow()
         arrays = [np.asarray(x.values, np.int64).view(np.uint64) for x in block.column("shingles")]
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, arrays))
-        found = docs.mapInArrow(_searcher(held, width, percent), "doc_id long, item_id long, n_item long, n_shared long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block.column("id").to_pylist(), arrays))
 
 
 _built: dict[str, Index] = {}
 
 
-def _searcher(held, width: int, percent: int):
+def _searcher(held, width: int, percent: int, column: str, emit):
+    """A function over Arrow batches: ``emit`` makes batches of one and its [(row, item id, n_item, n_shared)]."""
+
     def run(batches):
         key, *block = held.value
         if key not in _built:
@@ -125,9 +165,8 @@ def _searcher(held, width: int, percent: int):
             _built[key] = Index(*block)
         index, lane = _built[key], Lane(61, fold=True)
         for batch in batches:
-            rows = []
-            ids = batch.column("id").to_pylist()
-            for begin, end, data, offsets in text_chunks(batch, "text"):
+            found = []
+            for begin, end, data, offsets in text_chunks(batch, column):
                 starts, ends, firsts = words(data, offsets)
                 hashes = lane.words(data, starts, ends)
                 counts = np.diff(firsts)
@@ -142,19 +181,12 @@ def _searcher(held, width: int, percent: int):
                     item = index.sets[i]
                     shared = int(np.isin(item, values[bounds[r] : bounds[r + 1]]).sum())
                     if 100 * shared >= percent * len(item):
-                        rows.append((ids[begin + r], index.ids[i], len(item), shared))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "item_id", "n_item", "n_shared"])
+                        found.append((begin + r, index.ids[i], len(item), shared))
+            yield from emit(batch, found)
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null id are judged by nothing and stay."""
-    held = find_contained(docs, items, **options).select(F.col("doc_id").alias(options.get("id_col", "doc_id"))).distinct()
-    return docs.join(held, options.get("id_col", "doc_id"), "left_anti")
-
-
 def op5_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     return find_contained(docs, items)
 
