@@ -112,7 +112,7 @@ class _Page:
             return True
         if name == "header":
             return not any(self.tag[k] in _MAIN for k in open_nodes)
-        if "=" not in attributes or name in ("body", "html", "article", "main"):
+        if not attributes.strip() or name in ("body", "html", "article", "main"):
             return False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
