@@ -258,8 +258,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text shows a language: it isn't null and has a letter."""
-    out = identify(docs, model, id_col, text_col, carry=tuple(docs.columns))
-    return out.filter(F.col("lang_pred") != UNKNOWN).drop("id", "lang_pred", "score", "spans")
+    # Under plain names no column of docs clashes with the operator's own.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = dict(zip(docs.columns, names))
+    out = identify(docs.toDF(*names), model, plain[id_col], plain[text_col], carry=tuple(names)).filter(F.col("lang_pred") != UNKNOWN)
+    return out.select(*(F.col(n).alias(c) for c, n in plain.items()))
 
 
 def held_out(id_col: str = "doc_id"):
