@@ -127,6 +127,29 @@ def resize_area(frame: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(out).astype(np.uint8).reshape(height, width, *frame.shape[2:])
 
 
+def rotate(frame: np.ndarray, angle: float, centre: tuple[float, float]) -> np.ndarray:
+    """Turned by an angle around (x, y), interpolated between pixels, black outside."""
+    h, w = frame.shape[:2]
+    a = np.atleast_3d(frame).astype(float)
+    y, x = np.mgrid[0:h, 0:w]
+    dx, dy = x - centre[0], y - centre[1]
+    sx, sy = np.cos(angle) * dx - np.sin(angle) * dy + centre[0], np.sin(angle) * dx + np.cos(angle) * dy + centre[1]
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    out = np.zeros_like(a)
+    for i in (0, 1):
+        for j in (0, 1):
+            px, py = x0 + i, y0 + j
+            inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
+            share = np.abs(1 - i - (sx - x0)) * np.abs(1 - j - (sy - y0)) * inside
+            out += share[..., None] * a[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
+    return np.rint(out).astype(np.uint8).reshape(frame.shape)
+
+
+def align_eyes(frame: np.ndarray, left: tuple[float, float], right: tuple[float, float]) -> np.ndarray:
+    """Turned so that the eyes are level."""
+    return rotate(frame, float(np.arctan2(right[1] - left[1], right[0] - left[0])), ((left[0] + right[0]) / 2, (left[1] + right[1]) / 2))
+
+
 class Keypoints:
     """Scale-space keypoints with 128-value descriptors, after Lowe (2004): extrema of differences of Gaussians over three
     scales an octave, thresholds on contrast and edges, main orientations, 4 x 4 x 8 histograms of gradients.

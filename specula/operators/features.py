@@ -65,10 +65,10 @@ def video_features(frame_table: DataFrame, groups: str = "abcde", now: str = "",
     return aggregate.video_features(frames, names(groups), "".join(kernels.normalize_groups(groups)), now, version, videos)
 
 
-def detect(frames: DataFrame, detector=None, max_frames: int | None = None, now: str = "", version: str = __version__, max_size: int = 640, allow_fallback: bool = True) -> DataFrame:
+def detect(frames: DataFrame, detector=None, max_frames: int | None = None, now: str = "", version: str = __version__, max_size: int = 640, allow_fallback: bool = True, pick: str = "best") -> DataFrame:
     """Box metadata of sampled frames, with metadata_idx, from a detector that a task loads: a callable without arguments
-    that returns a function from a frame to a list of {"bbox": [x1, y1, x2, y2], "score": number}. Without one, or where it
-    finds nothing, boxes are filled as ``boxes.fill`` does.
+    that returns a function from a frame to a list of {"bbox": [x1, y1, x2, y2], "score": number}; of it the best by score
+    is taken, or with pick="first" the first. Without one, or where it finds nothing, boxes are filled as ``boxes.fill`` does.
     """
     rows = boxes.sampled(frames, max_frames).select("video_id", "frame_id", "height", "width", "channels", "pixels")
 
@@ -83,7 +83,8 @@ def detect(frames: DataFrame, detector=None, max_frames: int | None = None, now:
                 scale = min(max_size / max(pixels.shape[:2]), 1.0)
                 if scale < 1:
                     pixels = resize_area(pixels, int(r["width"] * scale), int(r["height"] * scale))
-                best = max(find(pixels), key=lambda d: d["score"], default=None)
+                seen = find(pixels)
+                best = next(iter(seen), None) if pick == "first" else max(seen, key=lambda d: d["score"], default=None)
                 box = [int(v / scale) for v in best["bbox"]] if best else None
                 found.append({"bbox": dict(zip(("x1", "y1", "x2", "y2"), box)) if box else None, "score": float(best["score"]) if best else None})
             yield pa.RecordBatch.from_arrays(
