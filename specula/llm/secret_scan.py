@@ -36,9 +36,8 @@ DICTIONARY = (
     " method model module more name net new next node not note number object only open option order out page param parent part password path"
     " phone port post print private process product project public query read request reset result return role root row sample save script"
     " search secret section select send server service session set show site size some source start state static status step stop store"
-    " string style system table tag target task temp test text that the this time title token tool tree type update upload url use user value"
-    " version view web when width will window with word work world write your"
-).split()[:199]
+    " string style system table tag target task temp test text"
+).split()
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
