@@ -268,10 +268,13 @@ def _rest(held: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def _share(left: str, right: str, percent: int):
-    """Whether differences from one centre let be linked: |A ^ B| = |D| + |D'| - 2 |D & D'|, and no one shares its own."""
+    """Whether differences from one centre let be linked: |A ^ B| = |D| + |D'| - 2 |D & D'|, and no one shares its own.
+
+    A class's own shingles lie in its D, but for the centre's: its D is empty.
+    """
     of = lambda side, name: F.col(f"{side}.{name}")
     allowed = (100 - percent) * (of(left, "n") + of(right, "n"))
-    shared = F.least(of(left, "d") - of(left, "own"), of(right, "d") - of(right, "own"))
+    shared = F.greatest(F.least(of(left, "d") - of(left, "own"), of(right, "d") - of(right, "own")), F.lit(0))
     return (100 + percent) * (of(left, "d") + of(right, "d") - 2 * shared) <= allowed
 
 

@@ -129,6 +129,31 @@ def test_a_large_group_whose_members_differ(spark):
     assert got == brute.components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("families", [1, 15])
+def test_the_last_round_leaves_out_no_link(spark, families):
+    """Close families in one large bucket; each class is a component, so every link must be among the pairs, the centre's too."""
+    r = random.Random(families)
+    sets = {}
+    for f in range(families):
+        base = [1000 * f + i for i in range(95)]
+        for k in range(2):
+            sets[2 * f + k] = set(base) | {100_000 + 1000 * (2 * f + k) + i for i in range(5)}
+        if families > 1:
+            for k in range(2):
+                sets[1000 + 2 * f + k] = set(r.sample(base, 90)) | set(r.sample(range(5000, 5040), r.randrange(1, 12)))
+    count = {}
+    for s in sets.values():
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    own = {i: sum(count[x] == 1 for x in s) for i, s in sets.items()}
+    held = spark.createDataFrame([(1, i, len(s), own[i], i) for i, s in sets.items()], "key LONG, id LONG, n LONG, own LONG, component LONG")
+    weight = held.select("id", F.lit(1).alias("w"))
+    full = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id LONG, shingles ARRAY<LONG>")
+    got = {(p["id"], p["other"]) for p in near_dup._rest(held, weight, full, 85).collect()}
+    linked = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+
+
 def test_near_duplicate_edges(spark):
     d = docs(spark, [(1, "A b"), (2, "a B"), (3, ""), (4, None), (None, "a b"), (5, "a b c d"), (5, "a b c d"), (6, "\x1c")])
     got = sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(d, 3, 85).collect())
