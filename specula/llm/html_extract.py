@@ -46,6 +46,8 @@ NOT_ARTICLE = re.compile(
     r"widget|login|signup|searchbox|toolbar|pagination|skip-link|site-?header|page-?header)(?=$|[\s_-])",
     re.I,
 )
+#: What a class says of a page's layout, not of the element's own part in it.
+LAYOUT = re.compile(r"(?<![^\s_-])(?:no|has|with|without)[-_]\S+|(?<!\S)comments?[-_](?:open|closed)(?!\S)", re.I)
 _MAIN = frozenset(("article", "main"))
 
 
@@ -53,7 +55,7 @@ class _Page:
     """Nodes by number: tag, parent, whether it counts, and its text and child nodes in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.skip, self.inside = ["html"], [0], [False], [[]]
+        self.tag, self.parent, self.skip, self.inside = ["html"], [0], [0], [[]]
         open_nodes, at = [0], 0
         last = source.rfind(">") + 1  # no tag ends behind it; searching there would cost the square of a run of "<"
         for m in iter(lambda: _TOKEN.search(source, at, last), None):
@@ -74,7 +76,7 @@ class _Page:
                 continue
             node = len(self.tag)
             self.tag.append(name), self.parent.append(open_nodes[-1]), self.inside.append([])
-            self.skip.append(self.skip[open_nodes[-1]] or self._not_article(name, attributes, open_nodes))
+            self.skip.append(self._not_article(name, attributes, open_nodes))
             self.inside[open_nodes[-1]].append(node)
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -83,6 +85,27 @@ class _Page:
                 open_nodes.append(node)
         if at < len(source):
             self.inside[open_nodes[-1]].append(source[at:])
+        self._inherit()
+
+    def _inherit(self) -> None:
+        """Skip what is inside skipped nodes; a class or form around the page's own text is its wrapper and stays."""
+        n = len(self.tag)
+        if 1 in self.skip:
+            chars, held = [0] * n, [0] * n  # held: 1 with an article inside, 2 with a main
+            for k in range(n - 1, -1, -1):
+                if self.skip[k] == 2:
+                    continue
+                chars[k] += sum(len(x.strip()) for x in self.inside[k] if type(x) is str)
+                if k:
+                    up = self.parent[k]
+                    chars[up] += chars[k]
+                    held[up] = max(held[up], held[k], (self.tag[k] == "article") + 2 * (self.tag[k] == "main"))
+            # Reader comments may be articles and the larger part of a page, so a class needs more than one of both.
+            self.skip = [
+                s == 2 or s == 1 and not (held[k] == 2 or chars[k] > (0.5 if held[k] else 0.8) * chars[0]) for k, s in enumerate(self.skip)
+            ]
+        for k in range(1, n):
+            self.skip[k] = bool(self.skip[k] or self.skip[self.parent[k]])
 
     def _end(self, open_nodes: list[int], name: str) -> None:
         for k in range(len(open_nodes) - 1, 0, -1):
@@ -107,20 +130,24 @@ class _Page:
                 if held in SCOPE:
                     break
 
-    def _not_article(self, name: str, attributes: str, open_nodes: list[int]) -> bool:
-        if name in NO_TEXT:
-            return True
+    def _not_article(self, name: str, attributes: str, open_nodes: list[int]) -> int:
+        """0 for what counts, 2 for what never does, 1 for a form or a class or id, which may be the whole page's."""
+        if name in NO_TEXT and name != "form":
+            return 2
         if name == "header":
-            return not any(self.tag[k] in _MAIN for k in open_nodes)
+            return 0 if any(self.tag[k] in _MAIN for k in open_nodes) else 2
+        found = int(name == "form")
         if not attributes.strip() or name in ("body", "html", "article", "main"):
-            return False
+            return found
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "role" and value.strip().lower() in ROLES or key in ("class", "id") and NOT_ARTICLE.search(value):
-                return True
+            if key == "role" and value.strip().lower() in ROLES:
+                return 2
+            if key in ("class", "id") and NOT_ARTICLE.search(LAYOUT.sub("", value)):
+                found = 1
             if key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes), re.I))
+                return 2
+        return 2 if re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes), re.I) else found
 
     def article(self) -> tuple[int, float, list[float], list[float], list[float]]:
         """(node of the article, threshold, and of every node the density, its characters and its link characters)."""

@@ -41,6 +41,21 @@ def test_main_text(html, want):
     assert got == [" ".join(w.split()) for w in want]
 
 
+@pytest.mark.parametrize("wrap", ["div class='wrapper no-sidebar'", "div class='layout has-sidebar'", "div class='post comments-open'", "div id='page-header widget'", "form action='/x'"])
+@pytest.mark.parametrize("inner", ["p", "article"])
+def test_a_wrapper_of_the_whole_page_is_no_menu(wrap, inner):
+    notes = "<div class='comments'><p>A reader's comment, no part of the text.</p></div>"
+    page_of = f"<html><body><{wrap}><{inner}>{LONG}</{inner}>{notes}</{wrap.split()[0]}><div>end</div></body></html>"
+    got = main_text(page_of)
+    assert LONG.strip() in got and "comment" not in got
+
+
+def test_comments_and_related_articles_stay_out():
+    more = "".join(f"<article><p>Comment {i}. {LONG}</p></article>" for i in range(1))
+    got = main_text(f"<html><body><div><p>{LONG}</p><p>{LONG}</p></div><div id='comments'>{more}</div></body></html>")
+    assert LONG.strip() in got and "Comment" not in got
+
+
 def test_broken_pages_are_read_in_linear_time():
     for html in ("<" * 200_000, "<div>" * 50_000, "<a " * 100_000, '"<p class="a>b' * 20_000, "</p>" * 100_000, "<p>" * 50_000 + "x"):
         main_text(html)
