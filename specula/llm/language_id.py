@@ -46,6 +46,15 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _OF = np.array([_NAMES.index(n) for _, n in SCRIPTS], np.int8)
 
 
+def letter_words(text: str) -> list[str]:
+    """The words of a text, each from its first letter on: \\w also has numbers such as '²', which are no letters."""
+    found = _WORD.findall(text)
+    if all(w[0].isalpha() for w in found):
+        return found
+    cut = (w[next((i for i, c in enumerate(w) if c.isalpha()), len(w)) :] for w in found)
+    return [w for w in cut if w]
+
+
 def script(word: str) -> int:
     """Number of the script of a word's first letter."""
     return int(_OF[np.searchsorted(_STARTS, ord(word[0]), "right") - 1])
@@ -182,7 +191,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             for begin, end, *_ in text_chunks(batch, "text"):
                 for lang, text in zip(langs[begin:end], batch.column("text").slice(begin, end - begin).to_pylist()):
                     k = number[lang]
-                    if words := [w for w in _WORD.findall(text) if w[0].isalpha()]:
+                    if words := letter_words(text):
                         grams[k] += np.bincount(_grams(words)[0], minlength=1 << BITS)
                         for w in words:
                             letters[k, script(w)] += len(w)
@@ -221,7 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for begin, end, *_ in text_chunks(batch, 0, 2 << 20):
                 texts = batch.column(0).slice(begin, end - begin).to_pylist()
-                split = [[w for w in _WORD.findall(t or "") if w[0].isalpha()] if of.languages else [] for t in texts]
+                split = [letter_words(t or "") if of.languages else [] for t in texts]
                 label, firsts = of.label(split)
                 letters = np.fromiter((len(w) for t in split for w in t), np.float64, len(label))
                 row = np.repeat(np.arange(len(texts)), np.diff(firsts))
@@ -257,11 +266,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text shows a language: it isn't null and has a letter."""
+    """The rows of docs, with all their columns, whose text isn't null and has a letter, also if the model knows no language."""
     # Under plain names no column of docs clashes with the operator's own.
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = dict(zip(docs.columns, names))
-    out = identify(docs.toDF(*names), model, plain[id_col], plain[text_col], carry=tuple(names)).filter(F.col("lang_pred") != UNKNOWN)
+    out = identify(docs.toDF(*names), model, plain[id_col], plain[text_col], carry=tuple(names))
+    out = out.filter((F.col("lang_pred") != UNKNOWN) | F.col(plain[text_col]).rlike(r"\p{L}"))
     return out.select(*(F.col(n).alias(c) for c, n in plain.items()))
 
 

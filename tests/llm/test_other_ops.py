@@ -155,6 +155,14 @@ def test_spans_of_mixed_text(spark, model):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 5, 6]
 
 
+def test_rows_with_letters_are_kept(spark, model):
+    rows = [(1, "²abc"), (2, "①дом 12"), (3, "² ½ 12"), (4, None), (5, "the house")]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id LONG, text STRING, lang STRING")
+    assert language_id.letter_words("²abc m² ½ x1y") == ["abc", "m²", "x", "y"]
+    for m in (model, language_id.fit(df)):
+        assert sorted(r["doc_id"] for r in language_id.keep_known(df, m).collect()) == [1, 2, 5]
+
+
 def test_viterbi_is_exact(model):
     """The shortcut for texts of one language, and the path over several, against all paths."""
     import itertools
