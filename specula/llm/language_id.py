@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from specula.llm.common import text_chunks
 from specula.llm.tokens import U, fmix, splitmix
 
-#: Bound of the training sample: an expected number of texts of each language.
+#: Bound of the training sample: an expected number of distinct texts of each language.
 ROWS_PER_LANGUAGE = 1500
 BITS, LENGTHS, SMOOTH = 16, (1, 2, 3, 4, 5), 0.5
 #: A word says at most so much against a language; what a switch costs; a language's share of a script's letters.
@@ -166,21 +166,24 @@ class Model:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of about ROWS_PER_LANGUAGE rows of each language; rows without text or language are left out.
+    """A model of about ROWS_PER_LANGUAGE distinct texts of each language; rows without text or language are left out.
 
     The texts of the sample are counted by the tasks; what comes to the driver is a table of fixed size per language.
     Without any labelled row the model knows no language, and every text is UNKNOWN.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = dict(rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).toArrow().to_pandas().itertuples(index=False))
+    # Copies of a text count as rows of the language, but only one of them is learnt from.
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.sum("k"), F.count(F.lit(1)))
+    found = texts.limit(MAX_LANGUAGES + 1).toArrow().to_pandas()
+    counts, distinct = ({k: n for k, n in zip(found.iloc[:, 0], found.iloc[:, c])} for c in (1, 2))
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros((0, len(_NAMES))), np.zeros(0))
-    limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / counts[k])))])
+    limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(min(1.0, ROWS_PER_LANGUAGE / distinct[k]))))])
     # The same texts whatever the partitions are: by the text's own hash.
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20))
+    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20)).distinct()
 
     def run(batches):
         number = {k: i for i, k in enumerate(languages)}

@@ -163,6 +163,14 @@ def test_rows_with_letters_are_kept(spark, model):
         assert sorted(r["doc_id"] for r in language_id.keep_known(df, m).collect()) == [1, 2, 5]
 
 
+def test_copies_of_a_text_are_learnt_once(spark):
+    rows = [("en", f"the house number {i} of that street") for i in range(40)]
+    copies = [("en", "the house number 7 of that street")] * 30
+    schema = "lang STRING, text STRING"
+    one, many = (language_id.fit(spark.createDataFrame(x, schema)) for x in (rows, rows + copies))
+    assert (one.table == many.table).all()
+
+
 def test_viterbi_is_exact(model):
     """The shortcut for texts of one language, and the path over several, against all paths."""
     import itertools
