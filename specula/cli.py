@@ -8,6 +8,7 @@ import importlib
 from pyspark.sql import SparkSession
 
 from specula.plans import pipeline
+from specula.sources.adapters import yt_dlp
 from specula.sources.tables import Layout
 
 
@@ -28,14 +29,17 @@ def parser() -> argparse.ArgumentParser:
         if name in ("ingest", "build"):
             v.add_argument("--source", help="CSV with the columns Media and Video Ground Truth")
             v.add_argument("--link", action="append", default=[])
+            v.add_argument("--download", metavar="FOLDER", help="download what is new into this mounted folder")
             v.add_argument("--dedup-within-batch", action="store_true")
         if name in ("ingest", "preprocess", "gold", "build"):
             v.add_argument("--limit", type=int)
         if name in ("preprocess", "gold", "build", "analyse"):
             v.add_argument("--max-frames", type=int)
-            v.add_argument("--decoder", help="module:function, else the raw container")
+            v.add_argument("--decoder", help="module:function, e.g. specula.sources.adapters:opencv, else the raw container")
         if name in ("preprocess", "build", "analyse"):
-            v.add_argument("--detector", help="module:function")
+            v.add_argument("--detector", help="module:function, e.g. specula.sources.adapters:retinaface")
+            v.add_argument("--tracker", help="module:function, e.g. specula.sources.adapters:csrt")
+            v.add_argument("--detect-every", type=int, default=1, help="detect on every n-th sample, track between")
         if name in ("preprocess", "build"):
             v.add_argument("--overwrite", action="store_true")
         if name in ("gold", "build", "analyse"):
@@ -56,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     verb, root = given.pop("verb"), given.pop("root", None)
     spark = spark or SparkSession.builder.appName("specula").getOrCreate()
     given = {k: v for k, v in given.items() if v is not None}
-    for k in ("decoder", "detector"):
+    for k in ("decoder", "detector", "tracker"):
         if k in given:
             given[k] = _load(given[k])
     if verb == "analyse":
@@ -64,6 +68,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(pipeline.to_json(row))
         return 0
     layout = Layout(root)
+    if folder := given.pop("download", None):
+        given["fetch"] = yt_dlp(folder)
     links = given.pop("link", [])
     if verb == "ingest":
         pipeline.run_ingest(spark, layout, given.pop("source", None), links, **given)

@@ -43,6 +43,8 @@ class Contract:
     grain: str
     required: tuple[str, ...]
     accepted: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    optional: tuple[str, ...] = ()
+    description: str = ""
 
     def ddl(self) -> str:
         """The schema of the required columns."""
@@ -54,7 +56,7 @@ class Contract:
 
 
 _ALL = [
-    Contract("bronze_manifest", "bronze", "source video", tuple(MANIFEST), {"label": ("Real", "Fake", ""), "status": ("pending", "downloaded", "failed", "skipped"), "source_type": ("youtube", "manual_upload", "dataset_local")}),
+    Contract("bronze_manifest", "bronze", "source video", tuple(MANIFEST), {"label": ("Real", "Fake", ""), "status": ("pending", "downloaded", "failed", "skipped"), "source_type": ("youtube", "manual_upload", "dataset_local")}, tuple(MANIFEST_EXTRA), "one row per attempt to ingest a video"),
     Contract("frame_metadata", "silver", "processed frame", tuple(FRAME_METADATA), {"source": SOURCES}),
     Contract("frame_features", "silver", "processed frame", tuple(FRAME_FEATURES)),
     Contract("video_features", "silver", "video", tuple(VIDEO_FEATURES)),

@@ -123,7 +123,9 @@ def resize_area(frame: np.ndarray, width: int, height: int) -> np.ndarray:
         cell = np.arange(n)
         return np.clip(np.minimum(edges[1:, None], cell + 1) - np.maximum(edges[:-1, None], cell), 0, None) / (n / m)
 
-    out = np.einsum("ih,hwc,jw->ijc", weights(frame.shape[0], height), np.atleast_3d(frame).astype(float), weights(frame.shape[1], width))
+    # Rows first, then columns: two matrix products.
+    rows = np.tensordot(weights(frame.shape[0], height), np.atleast_3d(frame).astype(float), axes=(1, 0))
+    out = np.tensordot(rows, weights(frame.shape[1], width), axes=(1, 1)).transpose(0, 2, 1)
     return np.rint(out).astype(np.uint8).reshape(height, width, *frame.shape[2:])
 
 

@@ -171,10 +171,17 @@ def sample_positions(n, most) -> Column:
 
 
 def nearest_metadata(frame, n, m) -> Column:
-    """Which of m metadata rows a frame of n takes: its own while there is about one a frame, else the nearest sampled one."""
+    """Which of m metadata rows a frame of n takes: its own while there is about one a frame, else the nearest sampled one.
+
+    The positions of m < n rows grow by more than one each, so the nearest is at the frame over the step or the next one.
+    """
     frame, n, m = _c(frame), _c(n), _c(m)
-    places = F.transform(sample_positions(n, m), lambda p, i: F.struct(F.abs(p - frame).alias("far"), i.alias("i")))
-    return F.when(m <= 0, F.lit(None)).when(m >= n - 3, F.least(frame, m - 1)).otherwise(F.array_min(places)["i"]).cast("int")
+    step = (n - 1).cast("double") / F.nullif(m - 1, F.lit(0))
+    at = lambda i: F.when(i == m - 1, n - 1).otherwise(F.floor(i * step).cast("int"))
+    low = F.least(F.coalesce(F.floor(frame / F.nullif(step, F.lit(0.0))), F.lit(0)).cast("int"), m - 1)
+    high = F.least(low + 1, m - 1)
+    best = F.when(F.abs(frame - at(low)) <= F.abs(at(high) - frame), low).otherwise(high)
+    return F.when(m <= 0, F.lit(None)).when(m >= n - 3, F.least(frame, m - 1)).otherwise(best).cast("int")
 
 
 def metric_scope(metric) -> Column:

@@ -6,10 +6,13 @@ a metric counts for a video if any of its frames has it, NaN or not.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-from specula.functions.scalars import finite, matches_prefix
+from specula.functions.scalars import dot, finite, matches_prefix
 
 STATS = ("mean", "std", "median")
 PAIRS = (("face_bg", "face", "background"), ("face_border", "face", "border"), ("border_bg", "border", "background"))
@@ -20,6 +23,11 @@ def to_long(frames: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame
     return frames.unpivot(keys, metrics, "metric", "value").filter("value IS NOT NULL")
 
 
+def numeric(df: DataFrame) -> DataFrame:
+    """The columns that hold numbers; booleans count as such."""
+    return df.select(*(f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, BooleanType))))
+
+
 def project(long: DataFrame, prefixes) -> DataFrame:
     return long.filter(matches_prefix("metric", prefixes))
 
@@ -125,13 +133,58 @@ def circular_mean(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a))).alias("angle"))
 
 
-def unit_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, n, sums): how many vectors of length 1 a group has, and their sum by dimension."""
-    from specula.functions.scalars import unit
+#: Numbers of partial sums that a task holds before it hands them on.
+HELD = 4_000_000
+
 
-    one = df.select(key, unit(vector).alias("u")).filter("u IS NOT NULL").select(key, F.posexplode("u").alias("d", "x"))
-    sums = one.groupBy(key, "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("sums"))
+def _unit_partials(df: DataFrame, key: str, vector: str, products: bool) -> DataFrame:
+    """(key, d, n, sums): per task and group, of the vectors at length 1, how many (n) and their sum (d = -1); with
+    ``products`` also the rows d of the sum of their outer products, a matrix product an Arrow batch.
+
+    Null vectors and such of zeros are left out; a null element makes its vector null. Vectors are of one size.
+    """
+
+    def run(batches):
+        held: dict = {}
+
+        def rows():
+            for k, (n, total, gram) in held.items():
+                listed = [total] if gram is None else [total, *gram]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(listed), kind), pa.array(range(-1, len(listed) - 1), pa.int32()), pa.array([n] * len(listed), pa.int64()), pa.array(listed, pa.list_(pa.float64()))],
+                    ["key", "d", "n", "sums"],
+                )
+            held.clear()
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, values = batch.column(0).type, batch.column(1)
+            v = values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            size = np.sqrt((v * v).sum(1))
+            fits = size > 0
+            u = v[fits] / size[fits, None]
+            codes = batch.column(0).filter(pa.array(fits)).dictionary_encode(null_encoding="encode")
+            code, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            for c in np.unique(code):
+                own = u[code == c]
+                n, total, gram = held.get(names[c], (0, 0.0, 0.0))
+                held[names[c]] = (n + len(own), total + own.sum(0), gram + own.T @ own if products else None)
+            if len(held) * v.shape[1] * (v.shape[1] + 1 if products else 1) > HELD:
+                yield from rows()
+        yield from rows()
+
+    of = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
+    return of.mapInArrow(run, f"key {of.schema['key'].dataType.simpleString()}, d int, n long, sums array<double>")
+
+
+def _unit_sums(partials: DataFrame) -> DataFrame:
+    """(key, n, sums) of _unit_partials."""
+    one = partials.filter("d = -1")
+    sums = one.select("key", F.posexplode("sums").alias("e", "x")).groupBy("key", "e").agg(F.sum("x").alias("s"))
+    listed = sums.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("e", "s"))), lambda x: x["s"]).alias("sums"))  # a vector's size
+    return one.groupBy("key").agg(F.sum("n").alias("n")).join(listed.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def mean_cosine_between(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -139,13 +192,9 @@ def mean_cosine_between(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     It is 1 minus the dot product of the means of the vectors at length 1, so no vector meets another one.
     """
-    from specula.functions.scalars import dot
-
-    means = unit_sums(df, key, vector).select(key, F.transform("sums", lambda s: s / F.col("n")).alias("m"))
+    means = _unit_sums(_unit_partials(df, key, vector, False)).select("key", F.transform("sums", lambda s: s / F.col("n")).alias("m"))
     a, b = means.alias("a"), means.alias("b")
-    return a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select(
-        F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), (1 - dot("a.m", "b.m")).alias("distance")
-    )
+    return a.join(b, F.col("a.key") < F.col("b.key")).select(F.col("a.key").alias("left"), F.col("b.key").alias("right"), (1 - dot("a.m", "b.m")).alias("distance"))
 
 
 def cosine_within(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -154,17 +203,15 @@ def cosine_within(df: DataFrame, key: str, vector: str) -> DataFrame:
     From the sum of the vectors at length 1 and of their outer products: the squares of the products of all pairs sum up to
     the squares of that matrix. Groups of fewer than two vectors are NaN.
     """
-    from specula.functions.scalars import unit
-
-    one = df.select(key, unit(vector).alias("u")).filter("u IS NOT NULL")
-    outer = one.select(key, F.posexplode("u").alias("d", "x"), "u").select(key, "d", F.posexplode(F.transform("u", lambda y: y * F.col("x"))).alias("e", "xy"))
-    squares = outer.groupBy(key, "d", "e").agg(F.sum("xy").alias("g")).groupBy(key).agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
-    sums = unit_sums(df, key, vector).join(squares, key)
+    partials = _unit_partials(df, key, vector, True)
+    cells = partials.filter("d >= 0").select("key", "d", F.posexplode("sums").alias("e", "x")).groupBy("key", "d", "e").agg(F.sum("x").alias("g"))
+    squares = cells.groupBy(F.col("key").alias("_g")).agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
+    sums = _unit_sums(partials).join(squares, F.col("key").eqNullSafe(F.col("_g")))
     n = F.col("n").cast("double")
     pairs = F.nullif(n * (n - 1), F.lit(0.0))
     total = F.aggregate("sums", F.lit(0.0), lambda t, s: t + s * s)
     mean, square = (total - n) / pairs, (F.col("g2") - n) / pairs
     nan = F.lit(float("nan"))
     return sums.select(
-        key, "n", F.coalesce(mean, nan).alias("sim_mean"), F.coalesce(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), nan).alias("sim_std")
+        F.col("key").alias(key), "n", F.coalesce(mean, nan).alias("sim_mean"), F.coalesce(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), nan).alias("sim_std")
     )

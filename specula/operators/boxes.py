@@ -13,10 +13,11 @@ def sampled(frames: DataFrame, most: int | None, video: str = "video_id") -> Dat
     """The frames (video, frame_id) that sampling keeps, with frame_count.
 
     The positions of a video follow from its count alone, so each frame is tested by itself: it stays if it is the floor of
-    some multiple of the step. No list of positions is joined.
+    some multiple of the step. A frame_count that frames have is the decoder's and stays, also where frames were sampled
+    before; then nothing is shuffled. Without one the rows are counted by video and the counts joined.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(video))
-    frames = frames.withColumn("frame_count", n.cast("int"))
+    if "frame_count" not in frames.columns:
+        frames = frames.join(frames.groupBy(video).agg(F.count(F.lit(1)).cast("int").alias("frame_count")), video)
     if most is None:
         return frames
     f, n, m = F.col("frame_id"), F.col("frame_count"), F.lit(most)
@@ -92,13 +93,16 @@ def flatten(rows: DataFrame, version: str) -> DataFrame:
 
 
 def match_metadata(frames: DataFrame, metadata: DataFrame, video: str = "video_id") -> DataFrame:
-    """frames (video, frame_id, frame_count) joined to the metadata row (video, metadata_idx, ...) that each takes.
+    """frames (video, frame_id, frame_count, ...) with metadata_idx and the metadata row that each takes.
 
-    The row is computed from the counts, so the join is a plain one on both keys.
+    Metadata go by position: metadata_idx is a row's place in its video. A video's rows become one array, of some numbers
+    a frame, so frames with their pixels meet them in one join on the video; what a frame takes is computed from the counts.
     """
-    counts = metadata.groupBy(video).agg(F.count(F.lit(1)).cast("int").alias("_m"))
-    frames = frames.join(counts, video).withColumn("metadata_idx", nearest_metadata("frame_id", "frame_count", "_m")).drop("_m")
-    return frames.join(metadata.drop("frame_id"), [video, "metadata_idx"])
+    names = [c for c in metadata.columns if c not in (video, "metadata_idx", "frame_id")]
+    rows = metadata.groupBy(video).agg(F.sort_array(F.collect_list(F.struct("metadata_idx", F.struct(*names).alias("row")))).alias("_rows"))
+    # Of m > 0 rows the place is always one of them. The row is taken in one projection, so that the place is told once.
+    found = frames.join(rows, video).withColumn("metadata_idx", nearest_metadata("frame_id", "frame_count", F.size("_rows")))
+    return found.select(*frames.columns, "metadata_idx", *(F.get("_rows", F.col("metadata_idx"))["row"][c].alias(c) for c in names))
 
 
 __all__ = ["best_detection", "fill", "flatten", "match_metadata", "sample_positions", "sampled", "schedule"]

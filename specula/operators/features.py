@@ -14,7 +14,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from specula import __version__
 from specula.operators import aggregate, boxes, kernels
-from specula.functions.scalars import face_regions
+from specula.functions.images import resize_area
+from specula.functions.scalars import BOX, face_regions
 
 FRAMES = "video_id STRING, frame_id INT, frame_count INT, height INT, width INT, channels INT, pixels BINARY"
 
@@ -65,38 +66,65 @@ def video_features(frame_table: DataFrame, groups: str = "abcde", now: str = "",
     return aggregate.video_features(frames, names(groups), "".join(kernels.normalize_groups(groups)), now, version, videos)
 
 
-def detect(frames: DataFrame, detector=None, max_frames: int | None = None, now: str = "", version: str = __version__, max_size: int = 640, allow_fallback: bool = True, pick: str = "best") -> DataFrame:
+def _clipped(box, width: int, height: int) -> list[int] | None:
+    """Rounded and within the frame; None for a side under 2."""
+    x1, y1, x2, y2 = (int(round(v)) for v in box)
+    x1, y1, x2, y2 = max(0, min(x1, width - 1)), max(0, min(y1, height - 1)), max(0, min(x2, width)), max(0, min(y2, height))
+    return [x1, y1, x2, y2] if x2 - x1 >= 2 and y2 - y1 >= 2 else None
+
+
+def detect(frames: DataFrame, detector=None, max_frames: int | None = None, now: str = "", version: str = __version__, max_size: int = 640, allow_fallback: bool = True, pick: str = "best", detect_every: int = 1, tracker=None) -> DataFrame:
     """Box metadata of sampled frames, with metadata_idx, from a detector that a task loads: a callable without arguments
     that returns a function from a frame to a list of {"bbox": [x1, y1, x2, y2], "score": number}; of it the best by score
     is taken, or with pick="first" the first. Without one, or where it finds nothing, boxes are filled as ``boxes.fill`` does.
+
+    A tracker is such a callable, too: it returns a function (frame, box) that starts tracking and returns a function from
+    the next frame to its box or None (or None if it can't start). With one, detection runs on every detect_every-th sample
+    and until it first found something; the tracker tells the boxes between. Frames of a video then pass one task in order.
+    Without one every frame is detected, and frames stay where they are.
     """
     rows = boxes.sampled(frames, max_frames).select("video_id", "frame_id", "height", "width", "channels", "pixels")
+    if tracker:
+        rows = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_id")
 
     def run(batches):
-        from specula.functions.images import resize_area
-
         find = detector() if detector else (lambda pixels: [])
+        start = tracker() if tracker else None
+        video, at, follow = None, 0, None
+
+        def detected(pixels, w, h):
+            scale = min(max_size / max(pixels.shape[:2]), 1.0)
+            seen = find(resize_area(pixels, int(w * scale), int(h * scale)) if scale < 1 else pixels)
+            best = next(iter(seen), None) if pick == "first" else max(seen, key=lambda d: d["score"], default=None)
+            return ([int(v / scale) for v in best["bbox"]], float(best["score"])) if best else (None, None)
+
         for batch in batches:
             found = []
-            for r in batch.select(["height", "width", "channels", "pixels"]).to_pylist():
-                pixels = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], r["channels"])
-                scale = min(max_size / max(pixels.shape[:2]), 1.0)
-                if scale < 1:
-                    pixels = resize_area(pixels, int(r["width"] * scale), int(r["height"] * scale))
-                seen = find(pixels)
-                best = next(iter(seen), None) if pick == "first" else max(seen, key=lambda d: d["score"], default=None)
-                box = [int(v / scale) for v in best["bbox"]] if best else None
-                found.append({"bbox": dict(zip(("x1", "y1", "x2", "y2"), box)) if box else None, "score": float(best["score"]) if best else None})
+            for r in batch.select(["video_id", "height", "width", "channels", "pixels"]).to_pylist():
+                if r["video_id"] != video:
+                    video, at, follow = r["video_id"], 0, None
+                w, h = r["width"], r["height"]
+                pixels = np.frombuffer(r["pixels"], np.uint8).reshape(h, w, r["channels"])
+                if follow is None or at % max(1, detect_every) == 0:
+                    source, (box, score) = "detector", detected(pixels, w, h)
+                    if start and box and (own := _clipped(box, w, h)):
+                        follow = start(pixels, own)
+                else:
+                    source, box, score = "tracker", follow(pixels), None
+                at += 1
+                found.append((dict(zip(BOX, map(int, box))) if box else None, score, source))
+            box, score, source = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("video_id", "frame_id", "width", "height")),
-                    pa.array([f["bbox"] for f in found], pa.struct([(k, pa.int32()) for k in ("x1", "y1", "x2", "y2")])),
-                    pa.array([f["score"] for f in found], pa.float64()),
+                    pa.array(box, pa.struct([(k, pa.int32()) for k in BOX])),
+                    pa.array(score, pa.float64()),
+                    pa.array(source, pa.string()),
                 ],
-                ["video_id", "frame_id", "frame_width", "frame_height", "bbox", "detector_score"],
+                ["video_id", "frame_id", "frame_width", "frame_height", "bbox", "detector_score", "_source"],
             )
 
-    schema = "video_id string, frame_id int, frame_width int, frame_height int, bbox struct<x1:int,y1:int,x2:int,y2:int>, detector_score double"
+    schema = "video_id string, frame_id int, frame_width int, frame_height int, bbox struct<x1:int,y1:int,x2:int,y2:int>, detector_score double, _source string"
     filled = boxes.fill(rows.mapInArrow(run, schema), allow_fallback=allow_fallback)
     return number(filled.withColumns({"processed_at": F.lit(now), "pipeline_version": F.lit(version)}))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ REPORT = (
     " cohen_d_fake_minus_real n_fake n_real missing_rate real_mean fake_mean"
 ).split()
 RESAMPLES, LEVEL, SEED = 1000, 0.95, 42
-#: Ranges of a metric's values that are ranked apart.
-RANGES = 64
 
 
 def _positive(positive: str):
@@ -29,26 +28,51 @@ def _positive(positive: str):
 def auc(long: DataFrame, positive: str = "Fake") -> DataFrame:
     """(metric, auc): the chance that a positive scores higher, ties half; NaN if a side is empty.
 
-    Equal to comparing all pairs. Values are counted by (metric, value) first. The negatives below a value are those of lower
-    ranges of values plus those below it in its own range, so no window holds more than a range of a metric; the ranges'
-    bounds are approximate quantiles, RANGES of them for each metric.
+    Equal to comparing all pairs. Values are counted by (metric, value) first, then dealt in order to ranges of about equal
+    size, whatever the metrics. A task runs once over its range: the negatives below a value are those before it in the range,
+    and those of a metric's lower ranges, which one row a range and metric tells.
     """
     v = finite("value")
-    counts = long.select("metric", v.alias("v"), _positive(positive).alias("pos")).filter("v IS NOT NULL")
-    counts = counts.groupBy("metric", "v").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
-    steps = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
-    bounds = counts.groupBy("metric").agg(F.percentile_approx("v", steps, 1000).alias("bounds"))
-    placed = counts.join(bounds, "metric").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
-    sums = placed.groupBy("metric", "range").agg(F.sum("n").alias("rn"))
-    lower = F.coalesce(F.sum("rn").over(Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.join(sums.withColumn("lower", lower).drop("rn"), ["metric", "range"])
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("metric", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.col("p") * (F.col("lower") + within + F.col("n") / 2.0)
-    summed = placed.withColumn("won", won).groupBy("metric").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    pairs = F.nullif((F.col("p") * F.col("n")).cast("double"), F.lit(0.0))
-    found = summed.select("metric", (F.col("won") / pairs).alias("auc"))
-    names = long.select("metric").distinct()
-    return names.join(found, "metric", "left").withColumn("auc", F.coalesce("auc", F.lit(float("nan"))))
+    counts = long.select("metric", v.alias("v"), _positive(positive).alias("pos")).groupBy("metric", "v").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
+    parts = counts.repartitionByRange("metric", "v").sortWithinPartitions("metric", "v").mapInArrow(_range_sums, "metric string, low double, p long, n long, won double")
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("metric").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = parts.withColumn("won", F.col("won") + F.col("p") * lower).groupBy("metric").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    pairs = F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))
+    return summed.select("metric", F.coalesce(F.col("won") / pairs, F.lit(float("nan"))).alias("auc"))
+
+
+def _range_sums(batches):
+    """Of a sorted range a row for each metric: its least value, positives, negatives and pairs won within the range.
+
+    A metric's missing values (null) make a row of nothing, so that the metric is there. A metric may span batches.
+    """
+    held: list = []  # of the last metric seen: metric, low, p, n, won
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))], ["metric", "low", "p", "n", "won"])
+
+    for batch in batches:
+        names, v = batch.column("metric"), batch.column("v")
+        known = v.is_valid().to_numpy(zero_copy_only=False)
+        p, n = (np.where(known, batch.column(c).to_numpy(), 0) for c in ("p", "n"))
+        level = v.to_numpy(zero_copy_only=False)
+        codes = names.dictionary_encode()
+        code, heads = codes.indices.fill_null(-1).to_numpy(), codes.dictionary.to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            metric = heads[code[a]] if code[a] >= 0 else None
+            if held and held[0] != metric:
+                yield row()
+                held = []
+            held = held or [metric, None, 0, 0, 0.0]
+            below = held[3] + np.cumsum(n[a:b]) - n[a:b]
+            if held[1] is None and known[a:b].any():
+                held[1] = float(level[a:b][known[a:b]][0])
+            held[2:] = [held[2] + int(p[a:b].sum()), held[3] + int(n[a:b].sum()), held[4] + float((p[a:b] * (below + n[a:b] / 2)).sum())]
+    if held:
+        yield row()
 
 
 def separation(long: DataFrame, positive: str = "Fake", negative: str = "Real") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specula import __version__, contracts
+from specula.functions.scalars import video_id_from_url
 from specula.operators import boxes, features, gold, ingest, quality
 from specula.sources import tables, video
 
@@ -34,8 +35,7 @@ def run_ingest(spark: SparkSession, layout: tables.Layout, source: str, links: l
     else:
         records = spark.createDataFrame([(k, u) for k, u in enumerate(links)], "pos INT, source_url STRING").groupBy("source_url").agg(F.min("pos").alias("pos"))
         records = records.orderBy("pos").select("source_url", F.lit("").alias("label"), F.lit("youtube").alias("source_type"))
-    if limit is not None:
-        records = records.limit(limit)
+    records = tables.first_rows(records, limit)
     files = _files(spark, layout.videos)
     rows = ingest.ingest(records, tables.read_manifest(spark, layout.manifest), files, fetch or ingest.local_fetch(files), now or now_iso(), dedup_within_batch)
     tables.append_manifest(rows, layout.manifest)
@@ -45,10 +45,7 @@ def run_ingest(spark: SparkSession, layout: tables.Layout, source: str, links: l
 def catalog(spark: SparkSession, layout: tables.Layout, limit: int | None = None) -> DataFrame:
     """The catalog's videos that are there, with video_id; files are matched by name or by the id in the URL."""
     rows = tables.read_catalog(spark, layout.catalog, layout.videos)
-    if limit is not None:
-        rows = rows.limit(limit)
-    from specula.functions.scalars import video_id_from_url
-
+    rows = tables.first_rows(rows, limit)
     stem = F.regexp_replace("Filename", r"\.[^.]*$", "")
     by_url = video_id_from_url("Media") if "Media" in rows.columns else F.lit("")
     there = _files(spark, layout.videos).select(F.col("video_id").alias("_file"), "path").distinct()
@@ -59,14 +56,14 @@ def catalog(spark: SparkSession, layout: tables.Layout, limit: int | None = None
     return found.filter("video_path IS NOT NULL").drop("_stem", "_url", "_a", "_b", "_file")
 
 
-def run_preprocess(spark: SparkSession, layout: tables.Layout, detector=None, max_frames: int | None = None, overwrite: bool = False, limit: int | None = None, decoder=video.raw, count=video.frame_count, now: str | None = None) -> DataFrame:
+def run_preprocess(spark: SparkSession, layout: tables.Layout, detector=None, max_frames: int | None = None, overwrite: bool = False, limit: int | None = None, decoder=video.raw, count=None, now: str | None = None, detect_every: int = 1, tracker=None) -> DataFrame:
     """Boxes of the videos that have none yet (all with overwrite), as the flat metadata table."""
     videos = catalog(spark, layout, limit).select("video_id").distinct()
     old = tables.exists(spark, layout.metadata) and not overwrite
     if old:
         videos = ingest.without_output(videos, spark.read.parquet(layout.metadata))
     frames = video.read_frames(spark, layout.videos, max_frames, decoder, count).join(videos, "video_id", "left_semi")
-    found = features.detect(frames, detector, None, now or now_iso())
+    found = features.detect(frames, detector, None, now or now_iso(), detect_every=detect_every, tracker=tracker)
     boxes.flatten(found, __version__).write.mode("append" if old else "overwrite").parquet(layout.metadata)
     return spark.read.parquet(layout.metadata)
 
@@ -77,7 +74,7 @@ def metadata_table(spark: SparkSession, layout: tables.Layout) -> DataFrame:
     return features.number(flat.withColumn("bbox", F.struct(*(F.col(f"bbox_{k}").alias(k) for k in ("x1", "y1", "x2", "y2")))))
 
 
-def run_gold(spark: SparkSession, layout: tables.Layout, groups: str = "abcde", max_frames: int | None = None, limit: int | None = None, train: float = 0.7, validation: float = 0.15, threshold: float = 0.5, decoder=video.raw, count=video.frame_count, now: str | None = None) -> DataFrame:
+def run_gold(spark: SparkSession, layout: tables.Layout, groups: str = "abcde", max_frames: int | None = None, limit: int | None = None, train: float = 0.7, validation: float = 0.15, threshold: float = 0.5, decoder=video.raw, count=None, now: str | None = None) -> DataFrame:
     """Frame features, video features and the gold table of catalog videos that have a file and metadata."""
     now = now or now_iso()
     metadata = metadata_table(spark, layout)
@@ -113,7 +110,7 @@ def run_validate(spark: SparkSession, layout: tables.Layout, stamp: str | None =
     checked = tables.union_tables(results)
     report = {
         "bronze": first(quality.bronze(manifest)) | {"manifest_path": layout.manifest},
-        "silver_metadata": first(quality.silver_metadata(metadata)),
+        "silver_metadata": first(quality.silver_metadata(metadata, len(tables.list_files(spark, layout.metadata_json, "_meta.json")))),
         "silver_features": first(quality.silver_features(frames, videos, len(tables.list_files(spark, layout.frame_features, ".parquet")))),
         "gold": first(quality.gold(gold_table)),
         "contracts": first(contracts.summarize(checked)) | {"results": [r.asDict(recursive=True) for r in checked.collect()]},
@@ -136,14 +133,14 @@ def run_build(spark: SparkSession, layout: tables.Layout, source: str | None = N
     return run_validate(spark, layout) if "validate" not in skip else {}
 
 
-def process_video(spark: SparkSession, path: str, metadata: DataFrame | None = None, groups: str = "abcde", max_frames: int | None = None, detector=None, generate: bool = True, decoder=video.raw, count=video.frame_count, now: str | None = None) -> tuple[DataFrame, dict]:
+def process_video(spark: SparkSession, path: str, metadata: DataFrame | None = None, groups: str = "abcde", max_frames: int | None = None, detector=None, generate: bool = True, decoder=video.raw, count=None, now: str | None = None, detect_every: int = 1, tracker=None) -> tuple[DataFrame, dict]:
     """(frame features, video features) of one file, by the plan that the batch uses."""
     now = now or now_iso()
     frames = video.read_frames(spark, path, max_frames, decoder, count)
     if metadata is None:
         if not generate:
             raise FileNotFoundError(f"no metadata for {path}")
-        metadata = features.detect(frames, detector, None, now)
+        metadata = features.detect(frames, detector, None, now, detect_every=detect_every, tracker=tracker)
     table = features.frame_features(frames, metadata, groups, None, now)
     row = features.video_features(table, groups, now, __version__, frames.select("video_id").distinct()).first()
     return table, row.asDict(recursive=True) if row else {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
@@ -56,7 +57,7 @@ def _suffix(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_table(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | StructType | None = None, ignore_corrupt: bool = False) -> DataFrame:
     """A Parquet or CSV table by its suffix; where it isn't there, the same name with the other suffix."""
     kind = _suffix(path)
     if kind not in (".parquet", ".csv"):
@@ -66,7 +67,7 @@ def read_table(spark: SparkSession, path: str, schema: str | StructType | None =
         if not exists(spark, other):
             raise FileNotFoundError(path)
         path, kind = other, _suffix(other)
-    reader = spark.read.schema(schema) if schema else spark.read
+    reader = (spark.read.schema(schema) if schema else spark.read).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
     return reader.parquet(path) if kind == ".parquet" else reader.csv(path, header=True, multiLine=True, escape='"')
 
 
@@ -82,10 +83,10 @@ def write_table(df: DataFrame, path: str) -> str:
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table, or an empty one of this schema where there is none that can be read."""
+    """The table, or an empty one of this schema where there is none that can be read; corrupt files of it are passed over."""
     try:
-        return read_table(spark, path)
-    except (FileNotFoundError, ValueError):
+        return read_table(spark, path, ignore_corrupt=True)
+    except (FileNotFoundError, ValueError, PySparkException):
         return spark.createDataFrame([], schema)
 
 
@@ -105,6 +106,13 @@ def read_many(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFr
     return out
 
 
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows in the order in which the files are read; all for None."""
+    if n is None:
+        return df
+    return df.withColumn("_order", F.monotonically_increasing_id()).orderBy("_order").limit(n).drop("_order")
+
+
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -215,6 +223,7 @@ class Layout:
     def __init__(self, root: str):
         root = root.rstrip("/")
         self.catalog, self.videos, self.manifest = f"{root}/bronze/catalog.csv", f"{root}/bronze/videos", f"{root}/bronze/manifest.parquet"
+        self.metadata_json = f"{root}/silver/face_metadata_json"
         self.metadata, self.frames = f"{root}/silver/face_metadata.parquet", f"{root}/silver/frames.parquet"
         self.frame_features, self.video_features = f"{root}/silver/frame_features.parquet", f"{root}/silver/video_features.parquet"
         self.gold, self.reports = f"{root}/gold/training_dataset.parquet", f"{root}/reports"

@@ -2,7 +2,7 @@
 
 A decoder is a callable without arguments that returns a function from a file's bytes and the wanted frame numbers (None for
 all) to an iterator of (frame_id, frame_count, pixels), pixels an array of bytes, height x width x 3. It may seek. ``raw``
-decodes the container that the tests use; any other format is a plug-in.
+decodes the container that the tests use; ``adapters`` has a decoder of common formats, any other is a plug-in.
 """
 
 from __future__ import annotations
@@ -50,14 +50,22 @@ def sample_indices(n: int, most: int | None) -> list[int]:
     return np.linspace(0, n - 1, int(most)).astype(int).tolist()
 
 
-def read_frames(spark: SparkSession, path: str, max_frames: int | None = None, decoder=raw, count=frame_count) -> DataFrame:
+#: Bytes of pixels in a batch that leaves the decoder; a larger frame is one of its own.
+BATCH = 8 << 20
+
+
+def read_frames(spark: SparkSession, path: str, max_frames: int | None = None, decoder=raw, count=None) -> DataFrame:
     """The frames of all files at path, of each at most max_frames, evenly spaced; unreadable files have none.
 
     Sampling is decided before decoding, so a decoder that seeks reads no other frames. A file is one task's; frames leave
-    it one by one.
+    it by and by. A decoder with an attribute ``by_path`` gets the file's path instead of its bytes, so that files of any
+    size do; its attribute ``count`` (or the parameter) tells the number of frames from the same.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    count = count or getattr(decoder, "count", frame_count)
+    by_path = getattr(decoder, "by_path", False)
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path" if by_path else "content").alias("content"))
     files = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("video_id"), "content")
+    names, kinds = [f.split()[0] for f in FRAMES.split(", ")], [pa.string(), *[pa.int32()] * 5, pa.binary()]
 
     def run(batches):
         decode = decoder()
@@ -65,10 +73,14 @@ def read_frames(spark: SparkSession, path: str, max_frames: int | None = None, d
             for video, content in zip(batch.column("video_id").to_pylist(), batch.column("content")):
                 data = content.as_py()
                 wanted = None if max_frames is None else sample_indices(count(data), max_frames)
+                held, size = [], 0
                 for k, n, pixels in decode(data, wanted):
-                    h, w, c = pixels.shape
-                    row = [video, k, n, h, w, c, pixels.tobytes()]
-                    kinds = [pa.string(), *[pa.int32()] * 5, pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [f.split()[0] for f in FRAMES.split(", ")])
+                    held.append((video, k, n, *pixels.shape, pixels.tobytes()))
+                    size += pixels.nbytes
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names)
 
     return files.mapInArrow(run, FRAMES)

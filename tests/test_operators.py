@@ -110,6 +110,33 @@ def test_auc_and_report(spark):
     assert [r["metric"] for r in stats.top(stats.report(df), 3).collect()] == ["m", "tie", "one"]
 
 
+def test_auc_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, "Fake" if rng.random() < 0.3 else "Real", float(np.round(rng.normal(), 2))) for m in ("a", "b", "c") for _ in range(300)] + [(None, "Fake", 1.0), (None, "Real", 0.0)]
+    df = spark.createDataFrame(rows, "metric STRING, label STRING, value DOUBLE")
+    got = {r["metric"]: r["auc"] for r in stats.auc(df).collect()}
+    for m in ("a", "b", "c"):
+        assert got[m] == pytest.approx(pairs_auc(*([x for k, lab, x in rows if k == m and (lab == "Fake") == f] for f in (True, False))))
+    assert got[None] == 1.0 and stats.auc(df.limit(0)).count() == 0
+
+
+def test_cosines(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 5))
+    rows = [("a" if k % 3 else "b", v[k].tolist()) for k in range(40)] + [("a", [0.0] * 5), ("a", None), ("a", [1.0, None, 0.0, 0.0, 0.0]), ("c", [1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "label STRING, e ARRAY<DOUBLE>").repartition(3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    own = {"a": u[[k for k in range(40) if k % 3]], "b": u[::3]}
+    got = {r["label"]: r for r in aggregate.cosine_within(df, "label", "e").collect()}
+    for k, x in own.items():
+        sims = (x @ x.T)[np.triu_indices(len(x), 1)]
+        assert got[k]["n"] == len(x) and got[k]["sim_mean"] == pytest.approx(sims.mean()) and got[k]["sim_std"] == pytest.approx(sims.std())
+    assert np.isnan(got["c"]["sim_mean"])
+    between = {(r["left"], r["right"]): r["distance"] for r in aggregate.mean_cosine_between(df, "label", "e").collect()}
+    assert between["a", "b"] == pytest.approx(1 - (own["a"] @ own["b"].T).mean()) and len(between) == 3
+    assert aggregate.numeric(spark.createDataFrame([(1, "x", 2.0, True)], "a INT, b STRING, c DOUBLE, d BOOLEAN")).columns == ["a", "c", "d"]
+
+
 def test_bootstrap(spark):
     rows = pd.DataFrame({"metric": "m", "label": ["Fake", "Real", "Fake", "Real", "Fake", "Real"], "value": [3.0, 1.0, 5.0, 4.0, 6.0, 2.0], "at": range(6)})
     got = stats.bootstrap(spark.createDataFrame(rows), "at", resamples=50).first()
@@ -150,6 +177,10 @@ def test_tables(spark, tmp_path):
     assert tables.read_optional(spark, str(tmp_path / "x.csv"), "a INT").count() == 0
     assert sorted(r[0] for r in tables.to_json_rows(df.drop("s")).collect()) == ['{"k":1,"v":null}', '{"k":2,"v":null}']
     assert tables.plain({"a": (np.float64("nan"), np.int64(3), [float("-inf")])}) == {"a": [None, 3, [None]]}
+    (tmp_path / "bad.parquet").mkdir()
+    (tmp_path / "bad.parquet" / "part-0.parquet").write_bytes(b"this is no table")
+    assert tables.read_optional(spark, str(tmp_path / "bad.parquet"), "a INT").count() == 0
+    assert [r["id"] for r in tables.first_rows(spark.range(9), 3).collect()] == [0, 1, 2]
     many = tmp_path / "many"
     tables.write_table(df.select("k"), str(many / "1.parquet")), tables.write_table(df.select("s"), str(many / "2.parquet"))
     assert tables.read_many(spark, str(many)).count() == 4 and tables.read_many(spark, str(tmp_path / "none")) is None
