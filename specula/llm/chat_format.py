@@ -1,7 +1,8 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
 ``render`` writes a conversation as one string, ``expand`` turns every assistant turn into an example of its own: all
-turns before it are the context and only that reply is trainable, and ``parse`` reads turns back from a rendered string.
+turns before it are the context and only that reply is trainable, ``parse`` reads turns back from a rendered string, and
+``digests`` reads whole conversations back from their examples.
 
 Template. A user turn is ``[INST]text[/INST]``, an assistant turn ``text</s>``, any other role (null counts as an empty
 name) ``[ROLE]role[INST]text[/INST]``. Texts and role names are escaped so that none of these control strings can occur
@@ -45,10 +46,9 @@ def _tail(role: Column) -> Column:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, text, targets): one row per conversation, its turns ordered by turn, then role and text.
+    """(conv_id, replies, text): one row per conversation, its turns ordered by turn, then role and text.
 
-    targets: for each assistant turn the struct (seq, start, length): its place among the turns and where its escaped text
-    lies in ``text``, in code points from 0. Null texts and roles count as empty. Repeated rows are turns like any others.
+    replies is the number of assistant turns. Null texts and roles count as empty. Repeated rows are turns like any others.
     Rows with a null conv_id are one conversation. An empty table gives an empty result; other columns are not read.
     A conversation is held by one task as it is one string in the end; nothing else is gathered.
     """
@@ -61,68 +61,51 @@ def render(conversations: DataFrame) -> DataFrame:
             )
         )
     )
-    parts = F.transform(
-        "turns",
-        lambda t: F.struct(
-            t["role"].alias("role"), _lead(t["role"]).alias("lead"), escape(t["text"]).alias("body"), _tail(t["role"]).alias("tail")
-        ),
-    )
-    # One pass keeps the offset so far; nothing of the texts is copied into the accumulator.
-    start = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<seq:int,start:bigint,length:bigint>>)").alias("found"), F.lit(0).alias("seq")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["lead"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long").alias("at"),
-            F.when(
-                p["role"] == "assistant",
-                F.array_append(
-                    a["found"],
-                    F.struct(
-                        a["seq"].alias("seq"),
-                        (a["at"] + F.length(p["lead"])).cast("long").alias("start"),
-                        F.length(p["body"]).cast("long").alias("length"),
-                    ),
-                ),
-            )
-            .otherwise(a["found"])
-            .alias("found"),
-            (a["seq"] + 1).alias("seq"),
-        ),
-        lambda a: a["found"],
-    )
+    written = F.transform("turns", lambda t: F.concat(_lead(t["role"]), escape(t["text"]), _tail(t["role"])))
     return (
         conversations.groupBy("conv_id")
         .agg(turns.alias("turns"))
-        .withColumn("parts", parts)
-        .select(
-            "conv_id",
-            F.size("turns").cast("long").alias("n_turns"),
-            F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"], p["tail"])), "").alias("text"),
-            start.alias("targets"),
-        )
+        .select("conv_id", F.size(F.filter("turns", lambda t: t["role"] == "assistant")).alias("replies"), F.array_join(written, "").alias("text"))
     )
 
 
-def expand(rendered: DataFrame) -> DataFrame:
-    """(conv_id, seq, context, reply, loss_start, loss_chars): an example for every assistant turn of ``render``'s rows.
+def expand(conversations: DataFrame) -> DataFrame:
+    """(conv_id, nth, context, reply, loss_start, loss_chars, last): an example for every assistant turn.
 
     context is the rendered text of all turns before it, reply its escaped text with the end mark. Trainable are the
     loss_chars code points from loss_start (from 0) of context followed by reply; loss_start is the context's length.
+    nth counts from 1. A conversation that doesn't end with a reply has a closing row of which nothing is trainable: all its
+    turns as context, an empty reply. So context and reply of a conversation's row marked last hold the whole of it, and
+    nothing of the input is lost. Rows as in ``render``.
+
+    The end mark stands nowhere but behind replies, so the nth example is the text up to the nth mark, and its reply what
+    follows the last mark before: each is cut out of the rendered text in one pass, and the work is that of writing the
+    contexts down, which grow with the square of a conversation's turns.
     """
-    one = rendered.select("conv_id", "text", F.explode("targets").alias("t"))
-    start, length = F.col("t.start").cast("int"), F.col("t.length").cast("int")
-    return one.select(
+    rendered = render(conversations)
+    open_end = F.when(F.endswith("text", F.lit(END)), 0).otherwise(1)
+    each = rendered.select("conv_id", "replies", "text", F.explode(F.sequence(F.lit(1), F.col("replies") + open_end)).alias("nth"))
+    closing = F.col("nth") > F.col("replies")
+    each = each.withColumn("upto", F.when(closing, F.col("text")).otherwise(F.call_function("substring_index", F.col("text"), F.lit(END), F.col("nth"))))
+    each = each.withColumn("body", F.when(closing, "").otherwise(F.substring_index(F.substring_index("upto", CLOSE, -1), END, -1)))
+    start = F.length("upto") - F.length("body")
+    return each.select(
         "conv_id",
-        F.col("t.seq").alias("seq"),
-        F.substring(F.col("text"), F.lit(1), start).alias("context"),
-        F.substring(F.col("text"), start + 1, length + len(END)).alias("reply"),
-        F.col("t.start").alias("loss_start"),
-        F.col("t.length").alias("loss_chars"),
+        "nth",
+        F.substring("upto", F.lit(1), start).alias("context"),
+        F.when(closing, "").otherwise(F.concat("body", F.lit(END))).alias("reply"),
+        start.cast("long").alias("loss_start"),
+        F.length("body").cast("long").alias("loss_chars"),
+        (F.col("nth") >= F.col("replies") + open_end).alias("last"),
     )
 
 
 def parse(text: Column) -> Column:
-    """array<struct<role, text>> from a rendered string: the inverse of ``render``."""
+    """array<struct<role, text>> from a rendered string: the inverse of ``render``.
+
+    Empty text has no turns, null gives null. In a string that ``render`` never wrote, what follows the last closing mark
+    is read as a user's turn without the length of that mark at its end, and codes unknown to the escape stay as they are.
+    """
     pieces = F.filter(F.split(text, r"(?<=\[/INST\])|(?<=</s>)", -1), lambda p: p != "")
 
     def turn(p: Column) -> Column:
@@ -140,45 +123,45 @@ def parse(text: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def digests(examples: DataFrame) -> DataFrame:
+    """What the examples of ``expand`` hold, a row a conversation: its turns, read back from the last one, and the texts under
+    the loss masks, each read from its own example."""
+    whole = F.concat("context", "reply")
+    said = unescape(F.substring(whole, (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    turns = F.when(F.col("last"), parse(whole))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    each = examples.select("conv_id", "nth", said.alias("said"), turns.alias("turns"), F.when(F.col("last"), F.length(whole)).cast("long").alias("formatted_chars"))
+    each = each.select(
+        "conv_id", F.struct("nth", "said").alias("said"), "formatted_chars", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256")
+    )
+    # The examples of a conversation come from its one row, so they are where this grouping needs them.
+    found = each.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("said")), lambda x: x["said"]), "").alias("said"), *(F.max(c).alias(c) for c in ("formatted_chars", "n_turns", "turns_sha256"))
+    )
+    return found.select("conv_id", "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 PROBE_ID = -7
 PROBE = "</s>[INST] ok [/INST]"
 
 
 def op9_chat_format(conversations: DataFrame) -> DataFrame:
-    spark = conversations.sparkSession
-    probe = spark.range(2).select(
+    """The digests of all conversations and of the probe. A conversation of the probe's id stays one of its own, so that this
+    id then has two rows."""
+    probe = conversations.sparkSession.range(2).select(
         F.lit(PROBE_ID).cast("long").alias("conv_id"),
         F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
-    rendered = render(rows)
-    digests = rendered.select(
-        "conv_id",
-        F.size(parse(F.col("text"))).cast("long").alias("n_turns"),
-        F.sha2(
-            F.array_join(F.transform(parse(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256
-        ).alias("turns_sha256"),
-        F.length("text").cast("long").alias("formatted_chars"),
-    )
-    # A conversation's examples come from its one row, so both groupings below keep the partitioning of render.
-    learnt = (
-        expand(rendered)
-        .select("conv_id", "seq", unescape(F.substring(F.col("reply"), F.lit(1), F.col("loss_chars").cast("int"))).alias("said"))
-        .groupBy("conv_id")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "said"))), lambda x: x["said"]), "").alias("said"))
-    )
-    said = F.coalesce(F.col("said"), F.lit(""))
-    return digests.join(learnt.withColumnRenamed("conv_id", "k"), F.col("conv_id").eqNullSafe(F.col("k")), "left").select(
-        "conv_id", "n_turns", "turns_sha256", F.length(said).cast("long").alias("loss_chars"), F.sha2(said.cast("binary"), 256).alias("loss_sha256"), "formatted_chars"
-    )
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digests(expand(rows)).unionByName(digests(expand(probe)))
 
 
 OP9_SQL = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', true UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', true
 ), e AS (
   SELECT *, replace(replace(replace(replace(replace(text, '\', '\0'), '</s>', '\1'), '[INST]', '\2'), '[/INST]', '\3'), '[ROLE]', '\4') AS body,
          replace(replace(replace(replace(replace(role, '\', '\0'), '</s>', '\1'), '[INST]', '\2'), '[/INST]', '\3'), '[ROLE]', '\4') AS name
@@ -189,5 +172,5 @@ SELECT conv_id, count(*) AS n_turns,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(body) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 ELSE 19 + length(name) END)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY probe, conv_id
 """

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import public_tokenizers
@@ -215,21 +216,57 @@ def test_chat_round_trip(spark):
     assert back == want
     plain = lambda s: s.replace("\\4", "[ROLE]").replace("\\3", "[/INST]").replace("\\2", "[INST]").replace("\\1", "</s>").replace("\\0", "\\")
     whole = {x["conv_id"]: x["text"] for x in rendered.collect()}
-    seen = {}
-    for e in sorted(chat_format.expand(rendered).collect(), key=lambda e: e["seq"]):
+    seen, last = {}, {}
+    for e in sorted(chat_format.expand(df).collect(), key=lambda e: e["nth"]):
         text = e["context"] + e["reply"]
         assert whole[e["conv_id"]].startswith(text) and e["loss_start"] == len(e["context"])
-        seen.setdefault(e["conv_id"], []).append(plain(text[e["loss_start"] : e["loss_start"] + e["loss_chars"]]))
+        if e["reply"]:
+            assert e["reply"] == text[e["loss_start"] : e["loss_start"] + e["loss_chars"]] + "</s>"
+            seen.setdefault(e["conv_id"], []).append(plain(text[e["loss_start"] : e["loss_start"] + e["loss_chars"]]))
+        else:
+            assert e["loss_chars"] == 0 and e["last"]
+        if e["last"]:
+            assert e["conv_id"] not in last and text == whole[e["conv_id"]]
+            last[e["conv_id"]] = text
+    assert last == whole
     assert seen == {c: [t for role, t in turns if role == "assistant"] for c, turns in want.items() if any(role == "assistant" for role, _ in turns)}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in chat_format.digests(chat_format.expand(df)).collect():
+        turns = want[r["conv_id"]]
+        said = "".join(t for role, t in turns if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(turns), len(said), len(whole[r["conv_id"]]))
+        assert r["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for role, t in turns)) and r["loss_sha256"] == sha(said)
 
 
 def test_chat_query(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "assistant", None)], "conv_id LONG, turn LONG, role STRING, text STRING")
-    got = {r["conv_id"]: r for r in chat_format.op9_chat_format(df).collect()}
+    out = chat_format.op9_chat_format(df)
+    got = {r["conv_id"]: r for r in out.collect()}
     probe, sha = chat_format.PROBE, lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[-7]["turns_sha256"] == sha(f"user\n{probe}\nassistant\n{probe}\n") and got[-7]["loss_sha256"] == sha(probe) and got[-7]["loss_chars"] == len(probe)
     assert got[1]["loss_chars"] == 0 and got[1]["loss_sha256"] == sha("") and got[2]["n_turns"] == 1 and got[1]["formatted_chars"] == len("[INST]hi[/INST]")
     assert [r["conv_id"] for r in chat_format.op9_chat_format(df.limit(0)).collect()] == [-7]
+    # The digests come from the contexts: the plan builds them.
+    assert "context" in out._jdf.queryExecution().optimizedPlan().toString()
+    own = spark.createDataFrame([(-7, 0, "user", "mine")], df.schema)
+    assert sorted(r["n_turns"] for r in chat_format.op9_chat_format(own).collect()) == [1, 2]
+
+
+def test_chat_of_many_turns(spark):
+    """An example a reply, each with all turns before it; no step beside writing them costs more than the text is long."""
+    n = 3000
+    df = spark.range(n).selectExpr("5L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    start = time.time()
+    r = chat_format.digests(chat_format.expand(df)).first()
+    assert time.time() - start < 60
+    said = "".join(f"t{k}" for k in range(1, n, 2))
+    assert r["n_turns"] == n and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_parse_of_what_was_never_rendered(spark):
+    df = spark.createDataFrame([("",), (None,), ("[INST]a[/INST]loose text of a user",), ("\\9</s>",)], "text STRING")
+    got = [r["p"] and [tuple(x) for x in r["p"]] for r in df.select(chat_format.parse(F.col("text")).alias("p")).collect()]
+    assert got[:2] == [[], None] and got[2][0] == ("user", "a") and got[2][1][0] == "user" and got[3] == [("assistant", "\\9")]
 
 
 # ---------------------------------------------------------------- secrets
