@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from specula.llm.common import text_chunks
 
-#: Widths of the matrices in bytes. A longer piece is merged through a heap, as a round on it would cost its length.
+#: Widths of the matrices in bytes. A longer piece is a matrix of its own, see ``_wide``.
 WIDTHS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256)
 ROWS = 8192
 NONE = np.int32(2**31 - 1)
@@ -124,34 +123,43 @@ class ByteBpe:
             ranks[has, at[has]] = self.pairs.find(ids[has, at[has]], ids[has, at[has] + 1])
         return out
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges in n log n steps: a heap of (rank, place) over a linked list."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        known: dict[tuple[int, int], int] = {}
-
-        def rank(a: int, b: int) -> int:
-            if (r := known.get((a, b))) is None:
-                r = known[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], NONE)
-            return r
-
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = r, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (q := rank(r, ids[k])) != NONE:
-                    heapq.heappush(heap, (q, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (q := rank(ids[h], r)) != NONE:
-                heapq.heappush(heap, (q, h, ids[h], r))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def _wide(self, piece: bytes) -> np.ndarray:
+        """Token ids of a long piece: a matrix of one row, in which a round merges all pairs of the row's least rank.
+
+        From the left, without overlaps: what rounds of one merge each do one after the other, unless a merge makes a pair of a
+        still lower rank; then only the leftmost is merged. A round costs the row's length, and there are about as many rounds
+        as ranks, not bytes.
+        """
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            head = np.ones(len(at), bool)
+            head[1:] = at[1:] != at[:-1] + 1
+            run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]  # of touching pairs every second one
+            # The pair that a merge makes with the token behind it, before that is merged itself.
+            inner = at[at < len(ids) - 2]
+            passed = self.pairs.find(np.full(len(inner), best, np.int32), ids[inner + 2])
+            merged = self._merge(ids, ranks, at, best)
+            if len(passed) and passed.min() < best or len(merged[1]) and merged[1].min() < best:
+                merged = self._merge(ids, ranks, at[:1], best)
+            ids, ranks = merged
+        return ids
+
+    def _merge(self, ids: np.ndarray, ranks: np.ndarray, at: np.ndarray, token) -> tuple[np.ndarray, np.ndarray]:
+        """The row after the pairs at these places became the token, and the ranks of its pairs."""
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids = ids.copy()
+        ids[at] = token
+        ids, ranks = ids[keep], ranks[keep[1:]]
+        now = at - np.arange(len(at))
+        left = now[now > 0]
+        ranks[left - 1] = self.pairs.find(ids[left - 1], ids[left])
+        right = now[now < len(ids) - 1]
+        ranks[right] = self.pairs.find(ids[right], ids[right + 1])
+        return ids, ranks
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces and remember them."""
@@ -162,7 +170,7 @@ class ByteBpe:
             if (whole := self.ranks.get(b)) is not None:
                 out[k] = np.array([whole], np.int32)
             elif len(b) > WIDTHS[-1]:
-                out[k] = self._heap(b)
+                out[k] = self._wide(b)
             else:
                 buckets.setdefault(next(w for w in WIDTHS if w >= len(b)), []).append(k)
         for width, members in buckets.items():
