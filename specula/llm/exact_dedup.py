@@ -2,7 +2,7 @@
 
 The index is a Parquet table bucketed and sorted by digest. A new batch is first reduced to one row per digest (map-side
 combined, so a text that makes up a third of all rows costs one row a task), anti-joined against the index by sort-merge
-on the bucketing, and what is new is appended.
+on the bucketing, and what is new is appended. The index itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specula.llm.common import lower_ascii, new_path, written
+from specula.llm.common import delete, lower_ascii, new_path, written
 
 
 def text_digest(text: Column) -> Column:
@@ -37,19 +37,23 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def files(self) -> DataFrame:
-        """The same rows without the bucketing, so that a lookup by a hot digest can be split among tasks."""
-        return self.spark.read.schema("digest BINARY, keep_id BIGINT, n_rows BIGINT").parquet(self.path)
-
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """One row per digest of ``batch`` (id, digest) that the index doesn't hold; the largest id stays."""
-        groups = batch.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups whose digest the index doesn't hold, by a sort-merge anti-join on the bucketing."""
         return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, batch: DataFrame) -> None:
-        self.fresh(batch).select("digest", "keep_id", "n_rows").write.insertInto(self.name)
+    def held(self, groups: DataFrame) -> DataFrame:
+        """The index's rows for the digests of groups, by a sort-merge semi-join on the bucketing."""
+        return self.table().join(groups.select("digest").hint("merge"), "digest", "left_semi")
+
+    def append(self, groups: DataFrame) -> None:
+        groups.select("digest", "keep_id", "n_rows").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
 
 def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add the texts of ``df`` to the index and tell for every row which row of its text stays.
@@ -57,18 +61,28 @@ def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: s
     Returns (id, keep_id, group_size, kept, digest), one row for each row of df. Texts that the index held before keep the
     row it names, and group_size is what it counted when it first saw the text. Null and empty texts are one group. Rows
     that repeat an id are all kept or all dropped with it. A null id never stays unless its group has no other id. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read. The result doesn't read the index any more.
+
+    The index is read along its buckets and never shuffled; what moves is one row for each text of the batch.
     """
     digests = written(df.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests")
-    index.append(digests)
-    return digests.join(index.files(), "digest").select(
+    groups = written(digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows")), "groups")
+    # First what the index knows, then what it doesn't: together a row for each text of the batch.
+    known = written(index.held(groups).select("digest", "keep_id", "n_rows"), "known")
+    fresh = written(index.fresh(groups).select("digest", "keep_id", "n_rows"), "fresh")
+    index.append(fresh)
+    named = known.unionByName(fresh).hint("merge")
+    return digests.join(named, "digest").select(
         "id", "keep_id", F.col("n_rows").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
     )
 
 
 def op4_exact_dedup(docs: DataFrame) -> DataFrame:
+    """Dedup against an index of its own, which is gone afterwards."""
     spark = docs.sparkSession
-    out = dedup(docs, DigestIndex(spark, new_path(spark, "digest-index")))
+    index = DigestIndex(spark, new_path(spark, "digest-index"))
+    out = dedup(docs, index)
+    index.drop()
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -98,11 +98,18 @@ def test_exact_dedup(spark, tmp_path):
     assert exact_dedup.dedup(docs(spark, more).limit(0), again).count() == 0
     twice = exact_dedup.DigestIndex(spark, str(tmp_path / "twice"), 2)
     assert [r["kept"] for r in exact_dedup.dedup(docs(spark, [(1, "q"), (1, "q")]), twice).collect()] == [True, True]
+    twice.drop()
+    assert not (tmp_path / "twice").exists() and not spark.catalog.tableExists(twice.name)
 
 
 def test_index_is_bucketed(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
-    index.append(spark.createDataFrame([(1, bytearray(b"a"))], "id LONG, digest BINARY"))
+    index.append(spark.createDataFrame([(bytearray(b"a"), 1, 1)], "digest BINARY, keep_id LONG, n_rows LONG"))
+    batch = spark.createDataFrame([(bytearray(b"a"), 5, 1), (bytearray(b"b"), 6, 1)], "digest BINARY, keep_id LONG, n_rows LONG")
+    for found in (index.fresh(batch), index.held(batch)):
+        scan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in scan and scan.count("Exchange hashpartitioning") == 1  # of the batch alone
+    assert [r["keep_id"] for r in index.fresh(batch).collect()] == [6] and [r["keep_id"] for r in index.held(batch).collect()] == [1]
     about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {index.name}").collect()}
     assert about["Num Buckets"] == "4" and about["Sort Columns"] == "[`digest`]"
 
