@@ -9,8 +9,8 @@ half-blocks are taken once for the smallest size and combined for the larger one
 a partition that is looked up by all its shingles. Every (document, item) that meets is
 verified on the whole sets of both.
 
-Items are searched in blocks of bounded size: what a block's items have of minima and shingles is broadcast, the documents
-are scanned once a block, and nothing of them is shuffled.
+Items are searched in blocks of bounded size, one after the other: what a block's items have of minima and shingles is
+broadcast, the documents are scanned once a block, and nothing of them is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specula.llm.common import text_chunks
+from specula.llm.common import text_chunks, written
 from specula.llm.near_dup import shingles
 from specula.llm.tokens import U, Lane, splitmix, words
 
@@ -114,8 +114,10 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, percent: i
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*hits)], ["doc_id", "item_id", "n_item", "n_shared"])
 
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for held in _blocks(items, width, item_id, item_text):
-        out = out.unionByName(rows.mapInArrow(_searcher(held, width, percent, "text", pairs), FOUND))
+    for held, _ in _blocks(items, width, item_id, item_text):
+        # Found pairs are few; written, they let go of the block before the next one comes.
+        out = out.unionByName(written(rows.mapInArrow(_searcher(held, width, percent, "text", pairs), FOUND), "found"))
+        held.unpersist()
     return out
 
 
@@ -125,7 +127,8 @@ FOUND = "doc_id long, item_id long, n_item long, n_shared long"
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no item; the search is that of ``find_contained``.
 
-    Rows are dropped where they are read, so no text is shuffled; each block of items is one pass over what is left.
+    Rows are dropped where they are read, so no text is shuffled; each block of items is one pass over what is left, which
+    is written where another block follows, so that one block at a time is held.
     """
 
     def rest(batch, found):
@@ -135,13 +138,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: in
 
     names = [f"c{k}" for k in range(len(docs.columns))]
     rows, at = docs.toDF(*names), names[docs.columns.index(text_col)]
-    for held in _blocks(items, width, item_id, item_text):
+    for held, more in _blocks(items, width, item_id, item_text):
         rows = rows.mapInArrow(_searcher(held, width, percent, at, rest), rows.schema)
+        if more:
+            rows = written(rows, "clean")
+            held.unpersist()
     return rows.toDF(*docs.columns)
 
 
 def _blocks(items: DataFrame, width: int, item_id: str, item_text: str):
-    """Broadcasts of about BLOCK_SHINGLES shingles each, which together hold every item that has any."""
+    """(broadcast, whether more follow) of about BLOCK_SHINGLES shingles each, which together hold every item that has any."""
     named = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     sets = shingles(named, width).filter(F.size("shingles") > 0)
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
@@ -149,7 +155,7 @@ def _blocks(items: DataFrame, width: int, item_id: str, item_text: str):
     for k in range(blocks):
         block = sets.filter(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == k).toArrow()
         arrays = [np.asarray(x.values, np.int64).view(np.uint64) for x in block.column("shingles")]
-        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block.column("id").to_pylist(), arrays))
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block.column("id").to_pylist(), arrays)), k + 1 < blocks
 
 
 _built: dict[str, Index] = {}
