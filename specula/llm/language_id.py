@@ -11,6 +11,8 @@ about ROWS_PER_LANGUAGE labelled texts of each language, chosen by a hash of the
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,22 @@ WORD_LIMIT, SWITCH, SHARE = 12.0, 18.0, 0.01
 MAX_LANGUAGES = 256
 CACHED = 400_000
 UNKNOWN = "und"
+#: The share of a text's letters that its language must hold where texts of one language are wanted.
+LEAST_SHARE = 0.25
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(kinds: str) -> str:
+    """The code points of these major categories of Unicode as ranges of a character class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    starts = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -2]) if after != c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+_WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+#: Most texts have only characters that these ranges leave out: among them are no marks, and of word characters what is no letter is listed.
+_OTHER = re.compile("[^\x00-\u02ff\u2000-\u206f\u20a0-\u20cf\u2190-\u23ff]")
+_PLAIN = re.compile("[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")
 #: First code points of scripts' main ranges in Unicode; the last range of a script ends where the next begins.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -47,12 +63,8 @@ _OF = np.array([_NAMES.index(n) for _, n in SCRIPTS], np.int8)
 
 
 def letter_words(text: str) -> list[str]:
-    """The words of a text, each from its first letter on: \\w also has numbers such as '²', which are no letters."""
-    found = _WORD.findall(text)
-    if all(w[0].isalpha() for w in found):
-        return found
-    cut = (w[next((i for i, c in enumerate(w) if c.isalpha()), len(w)) :] for w in found)
-    return [w for w in cut if w]
+    """The words of a text: a letter and the letters and marks (vowel signs, accents) that follow."""
+    return (_WORD if _OTHER.search(text) else _PLAIN).findall(text)
 
 
 def script(word: str) -> int:
@@ -268,14 +280,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
 
 
-def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text isn't null and has a letter, also if the model knows no language."""
+def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs that are in one language, with all their columns; lang_col becomes the predicted language.
+
+    Null texts and those without a letter go, and such of which no language holds the share ``least`` of the letters. If the
+    model knows no language nothing is told: every text with a letter stays with the language that it came with.
+    """
     # Under plain names no column of docs clashes with the operator's own.
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = dict(zip(docs.columns, names))
     out = identify(docs.toDF(*names), model, plain[id_col], plain[text_col], carry=tuple(names))
-    out = out.filter((F.col("lang_pred") != UNKNOWN) | F.col(plain[text_col]).rlike(r"\p{L}"))
-    return out.select(*(F.col(n).alias(c) for c, n in plain.items()))
+    if not model.languages:
+        out = out.filter(F.col(plain[text_col]).rlike(r"\p{L}"))
+        return out.select(*(F.col(n).alias(c) for c, n in plain.items()))
+    out = out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.select(*(F.col("lang_pred" if c == lang_col else n).alias(c) for c, n in plain.items()))
 
 
 def held_out(id_col: str = "doc_id"):
