@@ -23,7 +23,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text shows no language: null texts and those without any letter.
+    """Drop documents that are in no one language: null texts, those without a letter, and those of which no language holds
+    a quarter of the letters. lang becomes the language that the text shows, also where it was null or told another.
 
     The labels are learnt from the documents that no accuracy is measured on.
     """
