@@ -68,10 +68,9 @@ def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: s
     digests = written(df.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests")
     groups = written(digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows")), "groups")
     # First what the index knows, then what it doesn't: together a row for each text of the batch.
-    known = written(index.held(groups).select("digest", "keep_id", "n_rows"), "known")
-    fresh = written(index.fresh(groups).select("digest", "keep_id", "n_rows"), "fresh")
-    index.append(fresh)
-    named = known.unionByName(fresh).hint("merge")
+    row = ("digest", "keep_id", "n_rows")
+    named = written(index.held(groups).select(*row, F.lit(False).alias("new")).unionByName(index.fresh(groups).select(*row, F.lit(True).alias("new"))), "named")
+    index.append(named.filter("new"))
     return digests.join(named, "digest").select(
         "id", "keep_id", F.col("n_rows").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
     )
