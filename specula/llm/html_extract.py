@@ -2,13 +2,18 @@
 
 A page becomes a flat list of DOM nodes (parents before children, so one backward sweep sums every subtree). The density
 of a node is its characters per tag, adjusted by how much of it is link text; a node's score is the sum of its children's
-densities. The subtree with the largest score wins. The smallest density on the path from the body to it is the threshold:
-the choice grows to a parent as long as a further child of that parent reaches it, and link lists below it are left out.
-What is no article by its element, role or class (menus, notices, adverts, forms, reader comments ...) has no density.
+densities. The subtree with the largest score wins, on every page, whatever its elements are called. The smallest density on
+the path from the body to it is the threshold: the choice grows to a parent as long as a further child of that parent
+reaches it, and what lies in the choice, is mostly links and stays below the threshold is left out.
+
+Elements that are no article by the standard's meaning (scripts, menus, asides, forms ...) or hidden have no text. Classes, ids
+and data attributes are a hint only: an element that they call an advert, a menu, a notice or reader comments goes unless
+most of the page's text, or the main element, is in it.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
@@ -17,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A tag whose attributes hold neither < nor > is told by the pattern, of any other only its head.
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)",
     re.S,
 )
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][-\w]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # HTML element names by their role in the standard.
@@ -40,15 +47,34 @@ CLOSED_BY_BLOCK = BLOCK - frozenset("body html dd dt li td th tr tbody tfoot the
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table select body html div section article main".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar form toolbar".split())
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|newsletter|subscri\w+|"
-    r"widget|login|signup|searchbox|toolbar|pagination|skip-link|site-?header|page-?header)(?=$|[\s_-])",
-    re.I,
+#: Words of classes and ids for what is no article. A class or id tells of it if it consists of such words and NEUTRAL ones.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr"
+    " notice notices alert popup modal overlay sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments"
+    " commentlist responses replies respond discussion reactions disqus related recommended recommendations share sharing social newsletter"
+    " subscribe subscription login signup search searchbox toolbar pagination skip siteheader pageheader".split()
+)
+NEUTRAL = frozenset(
+    "site page top bottom left right main box block wrapper wrap container content list section area unit slot bar panel group item items link links"
+    " button buttons icons widget form thread posts articles stories news js id global sticky fixed primary secondary inner outer".split()
 )
-#: What a class says of a page's layout, not of the element's own part in it.
-LAYOUT = re.compile(r"(?<![^\s_-])(?:no|has|with|without)[-_]\S+|(?<!\S)comments?[-_](?:open|closed)(?!\S)", re.I)
-_MAIN = frozenset(("article", "main"))
+#: The same, but only outside article and main.
+HEADS = frozenset(("header", "head"))
+_PART = re.compile(r"[a-z]+|\d+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Of these elements those are left out that are links by more than that share and below the threshold.
+LINKED, LINKS = frozenset("ul ol dl div section table".split()), 0.8
+#: What ends the look for an open paragraph, and what is looked at for the elements of ENDS.
+_STOPS = BLOCK | {"button"}
+_ENDABLE = SCOPE | frozenset(ENDS)
+
+
+@functools.lru_cache(4096)
+def _named(token: str, inside: bool) -> bool:
+    """Whether a class or id says that an element is no article."""
+    parts = _PART.findall(_CAMEL.sub(" ", token).lower())
+    hint = any(x in NAMES or x in HEADS and not inside for x in parts)
+    return hint and all(x in NAMES or x in NEUTRAL or x in HEADS or x.isdigit() for x in parts)
 
 
 class _Page:
@@ -56,37 +82,74 @@ class _Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.skip, self.inside = ["html"], [0], [0], [[]]
-        open_nodes, at = [0], 0
+        # Of the open nodes: how many of each tag, and the place at or below each where a look for an end may stop.
+        self.open, self.count, self.stop, self.endable = [0], {"html": 1}, [0], [0]
+        at = 0
+        self.tag_ends: dict[int, int] = {}
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
         last = source.rfind(">") + 1  # no tag ends behind it; searching there would cost the square of a run of "<"
         for m in iter(lambda: _TOKEN.search(source, at, last), None):
             if m.start() > at:
-                self.inside[open_nodes[-1]].append(source[at : m.start()])
+                self.inside[self.open[-1]].append(source[at : m.start()])
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 if m[0].startswith("<![CDATA["):
-                    self.inside[open_nodes[-1]].append(entities.escape(m[0][9:].removesuffix("]]>")))
+                    self.inside[self.open[-1]].append(entities.escape(m[0][9:].removesuffix("]]>")))
                 continue
-            name, attributes = name.lower(), m[3] if m[2] else m[6]
+            name, attributes = name.lower(), m[3]
+            if not m[2]:
+                end = self._tag_end(source, at)
+                attributes, at = source[at:end], end + 1
             if m[1] or m[4]:
-                self._end(open_nodes, name)
+                self._end(name)
                 continue
-            self._make_room(open_nodes, name)
-            if name in ("html", "body") and any(self.tag[k] == name for k in (open_nodes if name == "body" else open_nodes[:1])):
+            self._make_room(name)
+            if name == "html" or name == "body" and self.count.get("body"):
                 continue
             node = len(self.tag)
-            self.tag.append(name), self.parent.append(open_nodes[-1]), self.inside.append([])
-            self.skip.append(self._not_article(name, attributes, open_nodes))
-            self.inside[open_nodes[-1]].append(node)
+            self.tag.append(name), self.parent.append(self.open[-1]), self.inside.append([])
+            self.skip.append(self._not_article(name, attributes))
+            self.inside[self.open[-1]].append(node)
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
             elif name not in VOID and not attributes.rstrip().endswith("/") or name in BLOCK and name not in VOID:
-                open_nodes.append(node)
+                k = len(self.open)
+                self.open.append(node)
+                self.count[name] = self.count.get(name, 0) + 1
+                self.stop.append(k if name in _STOPS else self.stop[-1])
+                self.endable.append(k if name in _ENDABLE else self.endable[-1])
         if at < len(source):
-            self.inside[open_nodes[-1]].append(source[at:])
+            self.inside[self.open[-1]].append(source[at:])
         self._inherit()
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """Place of the > that ends a tag: the first one outside quotes, or the first of all if quotes never end.
+
+        What follows from a quote on is remembered, so that looks for ends, which may reach to the page's end, cost it once.
+        """
+        passed, end, here = [], -1, at
+        while (m := _SPECIAL.search(source, here)) and m[0] != ">":
+            k = m.start()
+            if k in self.tag_ends:
+                end = self.tag_ends[k]
+                break
+            passed.append(k)
+            if k >= self.last_quote[m[0]]:
+                break
+            here = source.index(m[0], k + 1) + 1
+        else:
+            end = m.start() if m else -1
+        self.tag_ends.update(dict.fromkeys(passed, end))
+        return end if end >= 0 else source.index(">", at)
+
+    def _close(self, k: int) -> None:
+        """End the k-th open node and all in it."""
+        for node in self.open[k:]:
+            self.count[self.tag[node]] -= 1
+        del self.open[k:], self.stop[k:], self.endable[k:]
+
     def _inherit(self) -> None:
         """Skip what is inside skipped nodes; a class or form around the page's own text is its wrapper and stays."""
         n = len(self.tag)
@@ -107,35 +170,34 @@ class _Page:
         for k in range(1, n):
             self.skip[k] = bool(self.skip[k] or self.skip[self.parent[k]])
 
-    def _end(self, open_nodes: list[int], name: str) -> None:
-        for k in range(len(open_nodes) - 1, 0, -1):
-            if self.tag[open_nodes[k]] == name:
-                del open_nodes[k:]
-                return
+    def _end(self, name: str) -> None:
+        if not self.count.get(name) or name == "html":
+            return  # an end without a start costs no look at what is open
+        k = len(self.open) - 1
+        while self.tag[self.open[k]] != name:
+            k -= 1
+        self._close(k)
 
-    def _make_room(self, open_nodes: list[int], name: str) -> None:
+    def _make_room(self, name: str) -> None:
         """End tags that the standard lets a page leave out."""
         if name in CLOSED_BY_BLOCK:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                if (held := self.tag[open_nodes[k]]) == "p":
-                    del open_nodes[k:]
-                    break
-                if held in BLOCK or held == "button":
-                    break
+            if self.tag[self.open[self.stop[-1]]] == "p":
+                self._close(self.stop[-1])
         elif name in ENDS:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                if (held := self.tag[open_nodes[k]]) in ENDS[name]:
-                    del open_nodes[k:]
-                    break
-                if held in SCOPE:
-                    break
-
-    def _not_article(self, name: str, attributes: str, open_nodes: list[int]) -> int:
+            k = self.endable[-1]
+            while k > 0 and (held := self.tag[self.open[k]]) not in SCOPE:
+                if held in ENDS[name]:
+                    self._close(k)
+                    return
+                k = self.endable[k - 1]
+
+    def _not_article(self, name: str, attributes: str) -> int:
         """0 for what counts, 2 for what never does, 1 for a form or a class or id, which may be the whole page's."""
         if name in NO_TEXT and name != "form":
             return 2
+        inside = bool(self.count.get("article") or self.count.get("main"))
         if name == "header":
-            return 0 if any(self.tag[k] in _MAIN for k in open_nodes) else 2
+            return 0 if inside else 2
         found = int(name == "form")
         if not attributes.strip() or name in ("body", "html", "article", "main"):
             return found
@@ -143,14 +205,19 @@ class _Page:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role" and value.strip().lower() in ROLES:
                 return 2
-            if key in ("class", "id") and NOT_ARTICLE.search(LAYOUT.sub("", value)):
+            if key in ("class", "id") and any(_named(t, inside) for t in value.split()):
                 found = 1
             if key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return 2
-        return 2 if re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes), re.I) else found
+        bare = _ATTRIBUTE.sub("", attributes).lower()
+        if re.search(r"(?:^|\s)hidden(?:\s|$)", bare):
+            return 2
+        if "data-" in attributes.lower() and any(_named(x, True) for x in re.findall(r"(?:^|\s)data-([-\w]+)", _ATTRIBUTE.sub(lambda m: m[1] + " ", attributes).lower())):
+            found = 1
+        return found
 
-    def article(self) -> tuple[int, float, list[float], list[float], list[float]]:
-        """(node of the article, threshold, and of every node the density, its characters and its link characters)."""
+    def densities(self) -> tuple[list[float], list[float], list[float], list[float]]:
+        """Of every node the density, the sum of its children's, its characters and its link characters."""
         n = len(self.tag)
         chars, tags, links, link_tags = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
         for k in range(n - 1, -1, -1):
@@ -165,7 +232,7 @@ class _Page:
                 tags[up] += tags[k] + 1
                 links[up] += links[k]
                 link_tags[up] += link_tags[k]
-        body = next((k for k in range(n) if self.tag[k] == "body"), 0)
+        body = self.body()
         ratio = links[body] / chars[body] if chars[body] else 0.0
         density, score = [0.0] * n, [0.0] * n
         for k in range(n - 1, -1, -1):
@@ -176,22 +243,42 @@ class _Page:
             density[k] = c / t * max(math.log(max(c * t / (max(lc, 1.0) * max(lt, 1.0)), 1.0)) / max(math.log(base), 1.0), 0.0)
             if k:
                 score[self.parent[k]] += density[k]
-        best = max(range(n), key=lambda k: (score[k], density[k])) if n else 0
+        return density, score, chars, links
+
+    def body(self) -> int:
+        return next((k for k in range(len(self.tag)) if self.tag[k] == "body"), 0)
+
+    def article(self) -> tuple[int, float, list[float], list[float], list[float]]:
+        """(node of the article, threshold, and of every node the density, its characters and its link characters)."""
+        density, score, chars, links = self.densities()
+        body = self.body()
+        best = max(range(len(self.tag)), key=lambda k: (score[k], density[k]))
         if not score[best]:
             best = body
         path = [best]
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
-        threshold = min((density[k] for k in path), default=0.0)
-        held = next((k for k in reversed(path) if self.tag[k] in _MAIN), None)
-        if held is not None:
-            return held, threshold, density, chars, links
-        while best not in (body, 0) and any(type(x) is int and x != best and density[x] >= threshold > 0 for x in self.inside[self.parent[best]]):
-            best = self.parent[best]
-        if self.tag[best] not in BLOCK:  # inline elements are no article by themselves
-            while best and self.tag[best] not in BLOCK:
-                best = self.parent[best]
-        return best, threshold, density, chars, links
+        threshold = min(density[k] for k in path)
+        # Up to the article element around it, which the page says is one piece, and to every parent with more of the kind.
+        around = next((k for k, x in enumerate(path) if self.tag[x] == "article"), 0)
+        root = best
+        for k, up in enumerate(path[1:], 1):
+            others = [x for x in self.inside[up] if type(x) is int and x != root]
+            if k > around and not any(density[x] >= threshold > 0 or x < root and self._is_title(x) for x in others):
+                break
+            root = up
+        while root and self.tag[root] not in BLOCK:  # inline elements are no article by themselves
+            root = self.parent[root]
+        return root, threshold, density, chars, links
+
+    def _is_title(self, k: int) -> bool:
+        """A main heading, or what holds nothing but one."""
+        while self.tag[k] != "h1" and not self.skip[k]:
+            held = [x for x in self.inside[k] if type(x) is int or x.strip()]
+            if len(held) != 1 or type(held[0]) is not int:
+                return False
+            k = held[0]
+        return self.tag[k] == "h1" and not self.skip[k]
 
     def text(self) -> str:
         root, threshold, density, chars, links = self.article()
@@ -214,7 +301,7 @@ class _Page:
                 flush()
             elif self.tag[x] == "br":
                 parts.append(" ")
-            elif x == root or not self.skip[x] and not (self.tag[x] in ("ul", "ol", "div", "section") and links[x] > 0.8 * chars[x] and density[x] < threshold):
+            elif x == root or not self.skip[x] and not (self.tag[x] in LINKED and links[x] > LINKS * chars[x] and density[x] < threshold):
                 if self.tag[x] in BLOCK:
                     flush()
                     todo.append(-1)

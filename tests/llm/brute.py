@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import collections
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -186,3 +187,50 @@ def secret_features(c, word, before, after, dictionary, secret, benign):
         "hyphens": c.count("-") / n, "before_secret": holds_name(before, secret), "before_benign": holds_name(before, benign), "after_benign": holds_name(after, benign),
         "assigned": signed(lead) or not any(x.isascii() and x.isalnum() for x in lead) and signed(before), "quoted": lead[-1:] in ("\"", "'", "`") and lead != "", "inside_secret": holds_name(lead, secret),
     }
+
+
+# ---------------------------------------------------------------- pages
+
+
+def dom_html(node):
+    """The page of a tree: a node is a text or (tag, [nodes])."""
+    if isinstance(node, str):
+        return node
+    return f"<{node[0]}>" + "".join(map(dom_html, node[1])) + f"</{node[0]}>"
+
+
+def densities(body):
+    """(tag, characters, density, sum of the children's densities) of every node of a tree, parents first, by definition."""
+
+    def told(node):
+        if isinstance(node, str):
+            return len(node.strip()), 0, 0, 0
+        parts = [told(x) for x in node[1]]
+        c, tags, lc, lt = (sum(p[k] for p in parts) for k in range(4))
+        tags += sum(not isinstance(x, str) for x in node[1])
+        lt += sum(not isinstance(x, str) and x[0] == "a" for x in node[1])
+        return (c, tags, c, lt) if node[0] == "a" else (c, tags, lc, lt)
+
+    whole = told(body)
+    ratio = whole[2] / whole[0] if whole[0] else 0
+
+    def density(node):
+        c, t, lc, lt = told(node)
+        if node[0] == "a":
+            lt += 1
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = max(math.log(math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)), 1.0)
+        return c / t * max(math.log(max(c * t / (max(lc, 1) * max(lt, 1)), 1)) / base, 0.0)
+
+    out = []
+
+    def walk(node):
+        inner = [x for x in node[1] if not isinstance(x, str)]
+        out.append((node[0], told(node)[0], density(node), sum(map(density, inner))))
+        for x in inner:
+            walk(x)
+
+    walk(body)
+    return out

@@ -57,7 +57,68 @@ def test_comments_and_related_articles_stay_out():
     assert LONG.strip() in got and "Comment" not in got
 
 
+def random_tree(r, depth=0):
+    tag = "body" if not depth else r.choice(["div", "div", "section", "p", "span", "a", "ul"])
+    if tag in ("p", "a", "span") or depth > 4:
+        return tag, ["w" * r.randrange(0, 60) + " " for _ in range(r.randrange(0, 2))]
+    inner = [random_tree(r, depth + 1) if r.random() < 0.8 else "text " * r.randrange(9) for _ in range(r.randrange(5))]
+    return tag, [x for k, x in enumerate(inner) if not (k and isinstance(x, str) and isinstance(inner[k - 1], str))]  # two texts in a row are one
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_densities_equal_a_plain_version(seed):
+    tree = random_tree(random.Random(seed))
+    made = html_extract._Page("<html>" + brute.dom_html(tree) + "</html>")
+    density, score, chars, _ = made.densities()
+    body = made.body()
+    nodes = [k for k in range(len(made.tag)) if k >= body]
+    want = brute.densities(tree)
+    assert [made.tag[k] for k in nodes] == [w[0] for w in want]
+    for k, (_, c, d, total) in zip(nodes, want):
+        assert chars[k] == c and density[k] == pytest.approx(d) and score[k] == pytest.approx(total)
+    if any(w[3] for w in want):
+        best = max(range(len(want)), key=lambda k: (want[k][3], want[k][2]))
+        root = made.article()[0]
+        at = nodes[best]
+        while at != root and at:  # the choice is the largest sum's subtree or grew from it
+            at = made.parent[at]
+        assert at == root
+
+
+@pytest.mark.parametrize("inner", [
+    "<section id='related-work'><h2>Related work</h2><p>{}</p></section>", "<p id='share-prices'>{}</p>", "<p class='notice-period'>{}</p>", "<div class='ad-hoc'>{}</div>",
+])
+def test_names_that_only_hold_a_word(inner):
+    other = "Another paragraph that belongs to the text. " * 3
+    assert other.strip() in main_text(page(f"<article><p>{LONG}</p>{inner.format(other)}</article>"))
+
+
+@pytest.mark.parametrize("extra", ["<div class='responses'><p>{}</p></div>", "<div data-ad='7'><p>{}</p></div>", "<div data-ad-slot><p>{}</p></div>", "<div class='ad'>{}</div>", "<div id='cookie-banner'><p>{}</p></div>", "<section class='commentSection'><article><p>{}</p></article></section>", "<div class='ads box-2'>{}</div>"])
+def test_what_is_named_no_article(extra):
+    for shape in ("<article><p>{0}</p><p>{0}</p>{1}</article>", "<main><p>{0}</p><p>{0}</p>{1}</main>", "<div><p>{0}</p><p>{0}</p></div>{1}"):
+        got = main_text(page(shape.format(LONG, extra.format("Some words from elsewhere, not of the text."))))
+        assert LONG.strip() in got and "elsewhere" not in got
+
+
+def test_density_decides_without_names():
+    links = "".join(f"<li><a href='/{k}'>Popular story number {k}</a></li>" for k in range(8))
+    got = main_text(page(f"<main><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div><h3>More</h3><ul>{links}</ul></div></main>"))
+    assert got.startswith("Title") and "Popular" not in got
+    got = main_text(page(f"<main><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div><ul>{links}</ul></div></main>"))
+    assert got.startswith("Title") and LONG.strip() in got and "Popular" not in got
+    two = main_text(page(f"<main><article><p>First. {LONG}</p></article><article><p>Second. {LONG}</p></article></main>"))
+    assert "First." in two and "Second." in two
+    three = main_text(page(f"<div><div><p>A1 {LONG}</p><p>A2 {LONG}</p></div><div><p>B1 {LONG}</p></div></div>"))
+    assert all(x in three for x in ("A1", "A2", "B1"))
+
+
 def test_broken_pages_are_read_in_linear_time():
+    n = 60_000
+    start = time.time()
+    for html in ("<div>" * n + "</span>" * n, "<b>" * n + "<div></div>" * n, "<ul><li>" + "<b>" * n + "<li></li>" * n, "<b>" * n + "<header></header>" * n, "<div>" * n + "x" + "</p>" * n):
+        main_text(html)
+    assert time.time() - start < 30
+    assert main_text("<div>" * n + "deep" + "</div>" * n) == "deep"
     for html in ("<" * 200_000, "<div>" * 50_000, "<a " * 100_000, '"<p class="a>b' * 20_000, "</p>" * 100_000, "<p>" * 50_000 + "x"):
         main_text(html)
 
