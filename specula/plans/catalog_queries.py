@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specula import contracts
 from specula.functions import scalars as S
-from specula.operators import gold, ingest, quality
+from specula.operators import boxes, gold, ingest, quality
+from specula.plans import frame_queries
 from specula.sources import tables
 
 
@@ -145,16 +148,41 @@ def union_mixed(spark, d):
     return tables.union_tables([a, b])
 
 
-def sink_roundtrip(spark, d):
-    """customer written as Parquet below the warehouse and read back."""
+def _folder(spark, tag: str) -> str:
+    """A new folder in the shared folder, or below the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{path.rstrip('/')}/roundtrip-{abs(hash(d)) % 10**9}.parquet"
-    return tables.read_table(spark, tables.write_table(_read(spark, d, "customer"), path))
+    return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def sink_roundtrip(spark, d):
+    """customer written as Parquet and read back."""
+    return tables.read_table(spark, tables.write_table(_read(spark, d, "customer"), _folder(spark, "roundtrip") + ".parquet"))
 
 
 def scan_many(spark, d):
-    """All files of two tables by one scan with a merged schema."""
-    return spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(f"{d}/nation.parquet", f"{d}/region.parquet")
+    """Two tables and a file that is none, below one folder, as one table."""
+    folder = _folder(spark, "many")
+    for t in ("nation", "region"):
+        tables.write_table(_read(spark, d, t), f"{folder}/{t}.parquet")
+    return tables.read_many(spark, folder)
+
+
+def metadata_json(spark, d):
+    """Boxes of all frames written as JSON, a document a video, and read back."""
+    box = lambda c: F.array(*(F.col(f"{c}.{k}") for k in S.BOX))
+    rows = boxes.fill(frame_queries.frames(spark, d))
+    rows = rows.select(F.col("video_id").cast("string").alias("video_id"), "frame_id", box("bbox").alias("bbox"), box("bbox_expanded").alias("bbox_expanded"), "source", "detector_score", "frame_width", "frame_height")
+    folder = tables.write_metadata(rows, _folder(spark, "metadata"))
+    back = tables.read_metadata(spark, f"{folder}/*/")
+    return back.select("video_id", "metadata_idx", "frame_id", *(F.col("bbox")[k].alias(b) for k, b in enumerate(S.BOX)), "source", "detector_score", "frame_width")
+
+
+def content_sha256(spark, d):
+    """A file of every supplier's name, hashed."""
+    folder = _folder(spark, "files")
+    _read(spark, d, "supplier").select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(folder)
+    files = tables.content_hashes(spark, f"{folder}/*/*.txt")
+    return files.select(F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("long").alias("s_suppkey"), "sha256")
 
 
 def json_sanitize(spark, d):
@@ -177,8 +205,8 @@ QUERIES = {
     "sink_roundtrip": (sink_roundtrip, "SELECT * FROM customer"),
     "json_sanitize": (json_sanitize, "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN round(value, 2) END AS value, user_id::DOUBLE AS first, CASE WHEN event_id % 3 = 2 THEN round(value, 2) END AS second FROM events"),
     "metadata_json": (
-        lambda s, d: _read(s, d, "events").select("event_id", F.from_json("props", "k INT").alias("p")).select("event_id", "p.k"),
-        "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events",
+        metadata_json,
+        f"WITH {frame_queries.FRAMES} SELECT video_id::VARCHAR AS video_id, frame_id AS metadata_idx, frame_id, f.x1, f.y1, f.x2, f.y2, source, score AS detector_score, w AS frame_width FROM exp",
     ),
     "catalog_scan": (lambda s, d: tables.with_video_path(catalog(s, d), "/v").select("video_id", "Filename", "video_path"), f'WITH {CATALOG} SELECT video_id, "Filename", \'/v/\' || "Filename" AS video_path FROM cat'),
     "source_records": (
@@ -198,7 +226,7 @@ QUERIES = {
         f"""WITH {CATALOG}, l AS (SELECT 0 AS part, doc_id AS pos, source_url AS link FROM cat UNION ALL SELECT 1, doc_id, record_url FROM cat)
             SELECT link, min(part) AS part, arg_min(pos, part * 1000000000000 + pos) AS pos FROM l GROUP BY link""",
     ),
-    "content_sha256": (lambda s, d: catalog(s, d).select("video_id", "sha256"), f"WITH {CATALOG} SELECT video_id, sha256 FROM cat"),
+    "content_sha256": (content_sha256, "SELECT s_suppkey::BIGINT AS s_suppkey, sha256(s_name || chr(10)) AS sha256 FROM supplier"),
     "manifest_index": (
         lambda s, d: tables.union_tables([ingest.success_index(manifest(s, d), c).select(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("video_id", "sha256", "source_url")]),
         f"WITH {MANIFEST}, ok AS (SELECT * FROM man WHERE status IN ('downloaded', 'skipped')) SELECT DISTINCT 'video_id' AS kind, video_id AS value FROM ok UNION SELECT 'sha256', sha256 FROM ok UNION SELECT 'source_url', source_url FROM ok",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specula.functions import images
@@ -51,6 +51,20 @@ def video_measures(spark, d) -> DataFrame:
     return means.join(labels, "video_id")
 
 
+def _report_ci(spark, d):
+    """The report with its interval; the interval, which SQL can't tell, must hold the resampled value's own bounds."""
+    r = stats.report(video_measures(spark, d), "video_id")
+    known = (F.col("auc_abs_ci_low") >= 0.5) & (F.col("auc_abs_ci_low") <= F.col("auc_abs_ci_high")) & (F.col("auc_abs_ci_high") <= 1) & (F.col("auc_abs_bootstrap_std") >= 0)
+    return r.select("metric", "direction", F.round("auc_fake", 8).alias("auc_fake"), F.round("cohen_d_fake_minus_real", 8).alias("cohen_d"), "n_fake", "n_real", F.round("missing_rate", 8).alias("missing_rate"), known.alias("interval_holds"))
+
+
+REPORT_CI = f"""WITH {frame_queries.FRAMES}, lb AS (SELECT video_id, CASE WHEN max(value) >= 200 THEN 'Fake' ELSE 'Real' END AS label FROM fr GROUP BY 1),
+lg AS (SELECT fr.video_id, region || '_mean' AS metric, any_value(label) AS label, avg(value) AS v FROM fr JOIN lb USING (video_id) GROUP BY 1, 2),
+au AS (SELECT p.metric, avg(CASE WHEN p.v > n.v THEN 1.0::DOUBLE WHEN p.v = n.v THEN 0.5 ELSE 0 END) AS auc FROM lg p JOIN lg n ON p.metric = n.metric AND p.label = 'Fake' AND n.label = 'Real' GROUP BY 1),
+se AS (SELECT metric, count(*) FILTER (label = 'Fake') AS n_fake, count(*) FILTER (label = 'Real') AS n_real, (avg(v) FILTER (label = 'Fake') - avg(v) FILTER (label = 'Real')) / sqrt((var_samp(v) FILTER (label = 'Fake') + var_samp(v) FILTER (label = 'Real')) / 2) AS d FROM lg GROUP BY 1)
+SELECT metric, CASE WHEN auc >= 0.5 THEN 'higher_fake' ELSE 'higher_real' END AS direction, round(auc, 8) AS auc_fake, round(d, 8) AS cohen_d, n_fake, n_real, 0.0::DOUBLE AS missing_rate, true AS interval_holds FROM au JOIN se USING (metric)"""
+
+
 def _bootstrap(spark, d):
     return stats.bootstrap(video_measures(spark, d), "video_id")
 
@@ -67,20 +81,9 @@ def _between(spark, d):
     return aggregate.mean_cosine_between(_embeddings(spark, d), "label", "embedding").select("left", "right", F.round("distance", 6).alias("distance"))
 
 
-def _patches(spark, d):
-    """Of each label the largest embedding by length, the first of equals."""
-    e = _embeddings(spark, d).select("label", "vec_id", F.round(S.norm("embedding"), 6).alias("size"))
-    return e.groupBy("label").agg(F.max(F.struct("size", (-F.col("vec_id")).alias("first"))).alias("m")).select("label", (-F.col("m.first")).alias("vec_id"), "m.size")
-
-
-def _capped(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return _embeddings(spark, d).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= kernels.MOST_PATCHES).select("label", "vec_id")
-
-
 def squares(spark, d, kernel: str) -> DataFrame:
     """Numbers of each embedding read as an 8 x 8 frame of levels."""
-    kinds = {"sobel": ("mean", "energy", "most"), "laplacian": ("mean", "energy", "most"), "fft": ("mean_power", "low_freq_ratio", "std_intensity", "anisotropy")}
+    kinds = {"sobel": ("mean", "energy", "most"), "laplacian": ("mean", "energy", "most"), "fft": ("mean_power", "std_power", "low_freq_ratio", "mid_freq_ratio", "high_freq_ratio", "radial_centroid", "entropy_norm", "flatness", "anisotropy", "mean_intensity", "std_intensity")}
     names = kinds[kernel]
 
     def run(batches):
@@ -95,7 +98,7 @@ def squares(spark, d, kernel: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(c) for c in columns)], ["vec_id", *names])
 
     schema = "vec_id long, " + ", ".join(f"{n} double" for n in names)
-    return _embeddings(spark, d).select("vec_id", "embedding").mapInArrow(run, schema).select("vec_id", *(F.round(n, 5).alias(n) for n in names))
+    return _embeddings(spark, d).select("vec_id", "embedding").mapInArrow(run, schema).select("vec_id", *((F.round(n, 5) + F.lit(0.0)).alias(n) for n in names))
 
 
 _PX = """px AS (SELECT vec_id, (i // 8)::INT AS y, (i % 8)::INT AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(0, 64) t(i)),
@@ -108,8 +111,13 @@ FFT = f"""WITH {_PX.split("nb AS")[0].rstrip().rstrip(",")}, av AS (SELECT vec_i
 rw AS (SELECT vec_id, y, u, sum(v * cos(2 * pi() * x * u / 8)) AS re, -sum(v * sin(2 * pi() * x * u / 8)) AS im FROM k, range(0, 8) t(u) GROUP BY 1, 2, 3),
 ft AS (SELECT vec_id, u, w, sum(re * cos(2 * pi() * y * w / 8) + im * sin(2 * pi() * y * w / 8)) AS re, sum(im * cos(2 * pi() * y * w / 8) - re * sin(2 * pi() * y * w / 8)) AS im FROM rw, range(0, 8) t(w) GROUP BY 1, 2, 3),
 pw AS (SELECT vec_id, (w + 4) % 8 - 4 AS dy, (u + 4) % 8 - 4 AS dx, ln(1 + sqrt(re * re + im * im)) AS p FROM ft),
-sm AS (SELECT vec_id, avg(p) AS mean_power, sum(p) FILTER (sqrt(dy * dy + dx * dx) / (sqrt(32) + 1e-6) < 0.2) / (sum(p) + 1e-6) AS low, coalesce(sum(p) FILTER (dy = 0), 0) AS across, coalesce(sum(p) FILTER (dx = 0), 0) AS down FROM pw GROUP BY 1)
-SELECT vec_id, round(mean_power, 5) AS mean_power, round(low, 5) AS low_freq_ratio, round((SELECT stddev_pop(v) FROM k WHERE k.vec_id = sm.vec_id), 5) AS std_intensity, round(abs(across - down) / (across + down + 1e-6), 5) AS anisotropy FROM sm"""
+rr AS (SELECT *, sqrt(dy * dy + dx * dx) / (sqrt(32) + 1e-6) AS r FROM pw),
+bn AS (SELECT vec_id, least(floor((p - lo) / (hi - lo) * 32)::INT, 31) AS i FROM rr JOIN (SELECT vec_id, min(p) AS lo, max(p) AS hi FROM pw GROUP BY 1) USING (vec_id)),
+en AS (SELECT vec_id, -sum(k / 64.0 * log2(k / 64.0)) / 5 AS e FROM (SELECT vec_id, i, count(*) AS k FROM bn GROUP BY 1, 2) GROUP BY 1),
+sm AS (SELECT vec_id, avg(p) AS mean_power, stddev_pop(p) AS std_power, sum(p) + 1e-6 AS t, coalesce(sum(p) FILTER (r < 0.2), 0) AS low, coalesce(sum(p) FILTER (r >= 0.2 AND r < 0.55), 0) AS mid, coalesce(sum(p) FILTER (r >= 0.55), 0) AS high,
+  sum(r * p) AS rp, avg(ln(p + 1e-6)) AS lg, coalesce(sum(p) FILTER (dy = 0), 0) AS across, coalesce(sum(p) FILTER (dx = 0), 0) AS down FROM rr GROUP BY 1)
+SELECT sm.vec_id, round(mean_power, 5) AS mean_power, round(std_power, 5) AS std_power, round(low / t, 5) AS low_freq_ratio, round(mid / t, 5) AS mid_freq_ratio, round(high / t, 5) AS high_freq_ratio, round(rp / t, 5) AS radial_centroid, round(e, 5) AS entropy_norm,
+  round(exp(lg) / (mean_power + 1e-6), 5) AS flatness, round(abs(across - down) / (across + down + 1e-6), 5) AS anisotropy, 0.0::DOUBLE AS mean_intensity, round((SELECT stddev_pop(v) FROM k WHERE k.vec_id = sm.vec_id), 5) AS std_intensity FROM sm JOIN en ON en.vec_id = sm.vec_id"""
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings)"
 
@@ -123,11 +131,9 @@ QUERIES = {
     "metric_report": (_report, REPORT),
     "report_topk": (lambda s, d: stats.top(stats.report(measures(s, d)), 2).select("metric", F.round("auc_abs", 8).alias("auc_abs")), f"SELECT metric, auc_abs FROM ({REPORT}) ORDER BY auc_abs DESC, abs(cohen_d_fake_minus_real) DESC LIMIT 2"),
     "auc_bootstrap": (_bootstrap, None),
-    "metric_report_ci": (lambda s, d: stats.report(video_measures(s, d), "video_id"), None),
+    "metric_report_ci": (_report_ci, REPORT_CI),
     "cdist_cosine": (_between, f"WITH {_UNIT} SELECT a.label AS left, b.label AS right, round(avg(1 - list_dot_product(a.e, b.e)), 6) AS distance FROM u a JOIN u b ON a.label < b.label GROUP BY 1, 2"),
     "pdist_cosine": (_within, f"WITH {_UNIT}, n AS (SELECT label, count(*) AS n FROM u GROUP BY 1), p AS (SELECT a.label, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, any_value(n.n) AS n, round(avg(s), 6) AS sim_mean, round(stddev_pop(s), 6) AS sim_std FROM p JOIN n USING (label) GROUP BY 1"),
-    "largest_patch": (_patches, "WITH z AS (SELECT label, vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS size FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, vec_id) AS k FROM z) SELECT label, vec_id, size FROM r WHERE k = 1"),
-    "patch_cap": (_capped, f"WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, vec_id FROM r WHERE k <= {kernels.MOST_PATCHES}"),
     "sobel_8x8": (lambda s, d: squares(s, d, "sobel"), SOBEL),
     "laplacian_8x8": (lambda s, d: squares(s, d, "laplacian"), LAPLACIAN),
     "fft_8x8": (lambda s, d: squares(s, d, "fft"), FFT),
