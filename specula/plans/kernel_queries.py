@@ -11,6 +11,8 @@ from specula.functions import images
 from specula.operators import kernels
 
 SIDE = 32
+#: Shares of squares are rounded later, as the fifth digit of such may be a tie.
+DIGITS = {"uniformity": 12}
 
 
 def _rectangles(key: int) -> tuple[tuple, tuple]:
@@ -44,7 +46,7 @@ def _regions(spark, d, signal: str, kernel, stats: list[str]) -> DataFrame:
     """(vec_id, region, stats) of a kernel's direct metrics."""
     names = [f"{signal}_{r}_{k}" for r in kernels.REGIONS for k in stats]
     wide = _numbers(spark, d, names, kernel)
-    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), *(F.round(f"{signal}_{r}_{k}", 5).alias(k) for k in stats)) for r in kernels.REGIONS)))
+    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), *(F.round(f"{signal}_{r}_{k}", DIGITS.get(k, 5)).alias(k) for k in stats)) for r in kernels.REGIONS)))
     return wide.select("vec_id", rows.alias("r")).select("vec_id", "r.*")
 
 
@@ -83,7 +85,7 @@ def _lbp_sql() -> str:
     b AS (SELECT vec_id, region, [{", ".join(tests)}] AS b FROM g),
     c AS (SELECT vec_id, region, CASE WHEN list_sum([(b[i] <> b[i % 8 + 1])::INT FOR i IN range(1, 9)]) <= 2 THEN list_sum(b) ELSE 9 END::DOUBLE AS c FROM b),
     h AS (SELECT vec_id, region, c, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT vec_id, region, sum(k) AS s FROM h GROUP BY ALL),
-    e AS (SELECT vec_id, region, round(-sum(k / s * log2(k / s)) / log2(10), 5) AS entropy_norm, round(sum(power(k / s, 2)), 5) AS uniformity, round((10 - count(*)) / 10.0::DOUBLE, 5) AS sparsity FROM h JOIN t USING (vec_id, region) GROUP BY ALL),
+    e AS (SELECT vec_id, region, round(-sum(k / s * log2(k / s)) / log2(10), 5) AS entropy_norm, round(sum(power(k / s, 2)), 12) AS uniformity, round((10 - count(*)) / 10.0::DOUBLE, 5) AS sparsity FROM h JOIN t USING (vec_id, region) GROUP BY ALL),
     m AS (SELECT vec_id, region, {_basic("c", "c")})
     SELECT vec_id, region, mean, std, median, p95, energy, kurtosis, entropy_norm, uniformity, sparsity FROM m JOIN e USING (vec_id, region)"""
 
