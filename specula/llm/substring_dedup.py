@@ -10,9 +10,11 @@ that contains none, or only short ones, stands for itself). Windows that are equ
 
 1. One scan turns the picks into anchors: (fingerprint, first and last window that pick it, hash of all words from the
    first window's start to the last one's end). Anchors equal in all of that are reduced to the earliest one within an
-   Arrow batch, the others are known as repeats; so one hot passage costs a row a batch.
-2. The anchors are grouped by fingerprint. Equal ones repeat the earliest of them as a whole. Where anchors of one
-   fingerprint differ, the earliest of each kind go on with their windows one by one.
+   Arrow batch, the others are known as repeats, and a fingerprint that the batch has in several contexts is known as such.
+   So a hot passage, and a hot phrase in ever other surroundings, cost a row or two a batch where they are looked at.
+2. The anchors are grouped by fingerprint, which tells those that stand alone; the others are grouped by fingerprint and
+   context. Equal ones repeat the earliest of them as a whole. Where anchors of one fingerprint differ, the earliest of each
+   kind go on with their windows one by one.
 3. These windows are grouped by two independent 64-bit hashes of their words; later ones repeat the earliest.
 
 The covered spans of a document are then merged and cut out of its text. The exchange of the texts by id is used twice.
@@ -34,7 +36,9 @@ ROUNDS = 2
 #: A symbol spans so many words at most, and its extent must hold so many to serve as an anchor.
 LONGEST, LEAST = 12, 6
 
-ANCHORS = "name long, context long, doc_id long, first int, last int, repeat boolean"
+#: key deals the rows out: the name, or a value of its own for rows of which more needn't be known. many: the batch has other
+#: contexts of the name. A row without place only tells that.
+ANCHORS = "key long, name long, context long, doc_id long, first int, last int, repeat boolean, many boolean"
 
 
 class _Level:
@@ -166,6 +170,8 @@ class Recompressor:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    names = [x.split()[0] for x in ANCHORS.split(", ")]
+
     def run(batches):
         of = Recompressor(window)
         for batch in batches:
@@ -186,13 +192,21 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
             # Rows that repeat an id are as early as each other.
             repeat = (doc != doc[head]) | (first != first[head])
-            # A repeat needs no more comparing; a name of its own keeps it from a hot one's task.
-            name = np.where(repeat, fmix(name.view(np.uint64) + fmix(doc.astype(np.uint64)) + first.astype(np.uint64)).view(np.int64), name)
+            # Names with several contexts in the batch: their rows know that already and are dealt out one by one, and one
+            # row a name tells the others. So a name, too, costs a row a batch where it is looked at.
+            own = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            kinds = np.add.reduceat((~same).astype(np.int64), own) if len(own) else own
+            many = np.repeat(kinds > 1, np.diff(np.append(own, len(name))))
+            alone = fmix(name.view(np.uint64) + fmix(doc.astype(np.uint64)) + first.astype(np.uint64)).view(np.int64)
+            key = np.where(repeat | many, alone, name)
             for k in range(0, len(name), 50_000):
                 cut = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[cut]) for x in (name, context, doc, first, last, repeat)], ["name", "context", "doc_id", "first", "last", "repeat"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (key, name, context, doc, first, last, repeat, many)], names)
+            told = name[own[kinds > 1]]
+            if len(told):
+                none = pa.nulls(len(told), pa.int32())
+                no = pa.array(np.zeros(len(told), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(told), pa.array(np.zeros(len(told), np.int64)), pa.nulls(len(told), pa.int64()), none, none, no, no], names)
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -274,16 +288,22 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     lowest = -(1 << 63)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = Window.partitionBy("name", "context").orderBy("doc_id", "first")
-    # Both windows use one exchange and one sort.
-    known = (
+    group = Window.partitionBy("key")
+    place = F.rank().over(Window.partitionBy("name", "context", "repeat").orderBy("doc_id", "first"))
+    # First which names are shared at all, and whether in different contexts; a name has at most two rows of a batch there.
+    shared = (
         _anchors(docs, window)
-        .repartition("name")
-        .withColumn("place", F.rank().over(kind))
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
-        .withColumn("kinds", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(Window.partitionBy("name")))
-        .filter("repeat or n > 1")
-        .select("doc_id", "first", "last", F.expr("repeat or place > 1").alias("again"), F.expr("not repeat and place = 1 and kinds > 1").alias("open"))
+        .withColumn("n", F.count(F.lit(1)).over(group))
+        .withColumn("differ", F.col("many") | (F.min("context").over(group) != F.max("context").over(group)) | (F.count("doc_id").over(group) < F.col("n")))
+        .filter("doc_id IS NOT NULL AND (repeat OR many OR n > 1)")
+        .select("name", "context", "doc_id", "first", "last", "repeat", "differ")
+    )
+    # Then which of equal contexts is the earliest; what a batch knew as repeats is dealt out by itself.
+    deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("context"))
+    known = (
+        shared.withColumn("context", deal)
+        .withColumn("place", place)
+        .select("doc_id", "first", "last", F.expr("repeat or place > 1").alias("again"), F.expr("not repeat and place = 1 and differ").alias("open"))
     )
     known = written(known, "anchors")
     opened = _by_doc(known.filter("open"))

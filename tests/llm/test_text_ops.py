@@ -76,6 +76,19 @@ def test_substring_dedup_of_runs_and_periods(spark, window):
     assert got == brute.spans_kept(rows, window)
 
 
+def test_a_hot_phrase_in_different_surroundings(spark):
+    """One phrase in every text: each text has another context of its names, and none of them gathers in one place."""
+    phrase = " ".join(f"hot{k}" for k in range(16))
+    rows = [(k, " ".join([*(f"w{k}x{j}" for j in range(12)), phrase, *(f"v{k}y{j}" for j in range(12 + k % 5))])) for k in range(400)]
+    rows += [(500, rows[3][1]), (501, "lead " + phrase + " same tail of words"), (502, "lead " + phrase + " same tail of words")]
+    df = docs(spark, rows, False).repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == brute.spans_kept(rows, 20)
+    anchors = substring_dedup._anchors(df.selectExpr("doc_id", "text"), 20)
+    assert anchors.groupBy("name").count().agg(F.max("count")).first()[0] > 300
+    assert anchors.groupBy("key").count().agg(F.max("count")).first()[0] <= 8  # two rows a batch
+
+
 def test_substring_dedup_edges(spark):
     t = " ".join(map(str, range(25)))
     rows = [(7, t), (7, t), (None, None), (9, t + "  tail"), (8, "é ü\x0bz")]
@@ -114,6 +127,23 @@ def test_index_is_bucketed(spark, tmp_path):
     assert about["Num Buckets"] == "4" and about["Sort Columns"] == "[`digest`]"
 
 
+def test_scattered_items_are_found(spark):
+    """Items in three parts with other words between: most of their shingles stand there, not in one place."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(7))
+    items = [(k, " ".join(word() for _ in range(60))) for k in range(40)]
+    texts = []
+    for k, t in items:
+        w = t.split()
+        between = lambda: [word() for _ in range(400)]
+        texts.append((k, " ".join([*between(), *w[:20], *between(), *w[20:40], *between(), *w[40:]])))
+    texts.append((99, " ".join([word() for _ in range(60_000)] + items[7][1].split())))
+    found = decontaminate.find_contained(docs(spark, texts, False), spark.createDataFrame(items, "item_id LONG, text STRING")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    want = {(d, i) for d, i, *_ in brute.contained(texts, items)}
+    assert got <= want and (99, 7) in got and len(got) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("seed,width,percent", [(0, 3, 85), (1, 5, 80), (2, 3, 85), (3, 2, 70)])
 def test_near_duplicates(spark, seed, width, percent):
     rows = corpus(seed, n=90)
