@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specula.plans import catalog_queries, frame_queries, kernel_queries, stat_queries
+from specula.plans import catalog_queries, frame_queries, kernel_queries, stat_queries, stream_queries
 
-MODULES = (catalog_queries, frame_queries, stat_queries, kernel_queries)
+MODULES = (catalog_queries, frame_queries, stat_queries, kernel_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
