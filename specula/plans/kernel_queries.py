@@ -13,6 +13,8 @@ from specula.operators import kernels
 SIDE = 32
 #: Shares of squares are rounded later, as the fifth digit of such may be a tie.
 DIGITS = {"uniformity": 12}
+#: Added before other numbers are rounded on both sides: means over a power of two of pixels are often ties.
+SHIFT = 1e-7
 
 
 def _rectangles(key: int) -> tuple[tuple, tuple]:
@@ -46,7 +48,7 @@ def _regions(spark, d, signal: str, kernel, stats: list[str]) -> DataFrame:
     """(vec_id, region, stats) of a kernel's direct metrics."""
     names = [f"{signal}_{r}_{k}" for r in kernels.REGIONS for k in stats]
     wide = _numbers(spark, d, names, kernel)
-    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), *(F.round(f"{signal}_{r}_{k}", DIGITS.get(k, 5)).alias(k) for k in stats)) for r in kernels.REGIONS)))
+    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), *((F.round(f"{signal}_{r}_{k}", DIGITS[k]) if k in DIGITS else F.round(F.col(f"{signal}_{r}_{k}") + SHIFT, 5)).alias(k) for k in stats)) for r in kernels.REGIONS)))
     return wide.select("vec_id", rows.alias("r")).select("vec_id", "r.*")
 
 
@@ -57,8 +59,8 @@ rg AS (SELECT *, CASE WHEN x >= 8 AND x < x2 AND y >= 6 AND y < y2 THEN 'face' W
 
 def _basic(source: str, value: str) -> str:
     """The six basic numbers of a region's values."""
-    return f"""round(avg({value}), 5) AS mean, round(stddev_pop({value}), 5) AS std, round(median({value}), 5) AS median, round(quantile_cont({value}, 0.95), 5) AS p95,
-    round(avg({value} * {value}), 5) AS energy, round(kurtosis_pop({value}), 5) AS kurtosis FROM {source} GROUP BY vec_id, region"""
+    return f"""round(avg({value}) + 1e-7, 5) AS mean, round(stddev_pop({value}) + 1e-7, 5) AS std, round(median({value}) + 1e-7, 5) AS median, round(quantile_cont({value}, 0.95) + 1e-7, 5) AS p95,
+    round(avg({value} * {value}) + 1e-7, 5) AS energy, round(kurtosis_pop({value}) + 1e-7, 5) AS kurtosis FROM {source} GROUP BY vec_id, region"""
 
 
 def _neighbours(reach: int, keep: str = "true") -> str:
@@ -85,33 +87,33 @@ def _lbp_sql() -> str:
     b AS (SELECT vec_id, region, [{", ".join(tests)}] AS b FROM g),
     c AS (SELECT vec_id, region, CASE WHEN list_sum([(b[i] <> b[i % 8 + 1])::INT FOR i IN range(1, 9)]) <= 2 THEN list_sum(b) ELSE 9 END::DOUBLE AS c FROM b),
     h AS (SELECT vec_id, region, c, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT vec_id, region, sum(k) AS s FROM h GROUP BY ALL),
-    e AS (SELECT vec_id, region, round(-sum(k / s * log2(k / s)) / log2(10), 5) AS entropy_norm, round(sum(power(k / s, 2)), 12) AS uniformity, round((10 - count(*)) / 10.0::DOUBLE, 5) AS sparsity FROM h JOIN t USING (vec_id, region) GROUP BY ALL),
+    e AS (SELECT vec_id, region, round(-sum(k / s * log2(k / s)) / log2(10) + 1e-7, 5) AS entropy_norm, round(sum(power(k / s, 2)), 12) AS uniformity, round((10 - count(*)) / 10.0::DOUBLE + 1e-7, 5) AS sparsity FROM h JOIN t USING (vec_id, region) GROUP BY ALL),
     m AS (SELECT vec_id, region, {_basic("c", "c")})
     SELECT vec_id, region, mean, std, median, p95, energy, kurtosis, entropy_norm, uniformity, sparsity FROM m JOIN e USING (vec_id, region)"""
 
 
 SOBEL = f"""WITH {FRAMES}, {_neighbours(1)}, m AS (SELECT vec_id, region, y, x, sqrt(power(sum(v * dx * (2 - abs(dy))), 2) + power(sum(v * dy * (2 - abs(dx))), 2)) AS p FROM nb GROUP BY ALL),
-z AS (SELECT vec_id, avg(p) AS a FROM m GROUP BY 1), co AS (SELECT vec_id, region, round(avg((p > a)::INT), 5) AS coherence FROM m JOIN z USING (vec_id) GROUP BY ALL),
+z AS (SELECT vec_id, avg(p) AS a FROM m GROUP BY 1), co AS (SELECT vec_id, region, round(avg((p > a)::INT) + 1e-7, 5) AS coherence FROM m JOIN z USING (vec_id) GROUP BY ALL),
 st AS (SELECT vec_id, region, {_basic("m", "p")}) SELECT st.*, coherence FROM st JOIN co USING (vec_id, region)"""
 
 LAPLACIAN = f"""WITH {FRAMES}, {_neighbours(1)}, m AS (SELECT vec_id, region, y, x, abs(sum(v * CASE abs(dy) + abs(dx) WHEN 0 THEN -4 WHEN 1 THEN 1 ELSE 0 END)) AS p FROM nb GROUP BY ALL),
-va AS (SELECT vec_id, region, round(var_pop(p), 5) AS variance FROM m GROUP BY ALL), st AS (SELECT vec_id, region, {_basic("m", "p")}) SELECT st.*, variance FROM st JOIN va USING (vec_id, region)"""
+va AS (SELECT vec_id, region, round(var_pop(p) + 1e-7, 5) AS variance FROM m GROUP BY ALL), st AS (SELECT vec_id, region, {_basic("m", "p")}) SELECT st.*, variance FROM st JOIN va USING (vec_id, region)"""
 
 # Weights of the bilateral mean: by level with a deviation of 75, by distance with one of 75, over a disc of radius 4.
 NOISE = f"""WITH {FRAMES}, {_neighbours(4, "dy * dy + dx * dx <= 16")}, w AS (SELECT vec_id, region, y, x, own, v, exp(-0.5::DOUBLE * power(abs(v - own) / 75.0::DOUBLE, 2)) * exp(-0.5::DOUBLE * (dx * dx + dy * dy) / 5625.0::DOUBLE) AS k FROM nb),
 m AS (SELECT vec_id, region, own - round_even(sum(k * v) / sum(k), 0) AS p FROM w GROUP BY vec_id, region, y, x, own), md AS (SELECT vec_id, region, median(p) AS md FROM m GROUP BY ALL)
-SELECT vec_id, region, round(avg(p), 5) AS mean, round(stddev_pop(p), 5) AS std, round(var_pop(p), 5) AS variance, round(sqrt(avg(p * p)), 5) AS rms, round(median(abs(p - md)), 5) AS mad, round(quantile_cont(abs(p), 0.95), 5) AS p95_abs
+SELECT vec_id, region, round(avg(p) + 1e-7, 5) AS mean, round(stddev_pop(p) + 1e-7, 5) AS std, round(var_pop(p) + 1e-7, 5) AS variance, round(sqrt(avg(p * p)) + 1e-7, 5) AS rms, round(median(abs(p - md)) + 1e-7, 5) AS mad, round(quantile_cont(abs(p), 0.95) + 1e-7, 5) AS p95_abs
 FROM m JOIN md USING (vec_id, region) GROUP BY vec_id, region"""
 
 # Lightness of a grey level on 255 steps.
 LIGHT = f"""{FRAMES}, li AS (SELECT *, CASE WHEN v / 255.0::DOUBLE <= 0.04045 THEN v / 255.0::DOUBLE / 12.92 ELSE power((v / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS c FROM rg),
 m AS (SELECT vec_id, x2, y2, region, y, x, v, round_even((CASE WHEN c > 0.008856 THEN 116 * cbrt(c) - 16 ELSE 903.3 * c END) * 255 / 100, 0)::INT AS p FROM li)"""
 PHYSICS = f"""WITH {LIGHT}, q AS (SELECT vec_id, region, quantile_cont(p, 0.2) AS dark, quantile_cont(p, 0.8) AS bright FROM m GROUP BY ALL)
-SELECT vec_id, region, round(avg(p), 5) AS l_mean, round(stddev_pop(p), 5) AS l_std, round(any_value(bright - dark), 5) AS l_contrast, 0.0::DOUBLE AS sat_mean, round(avg(v), 5) AS value_mean,
-  round(avg((p < dark)::INT), 5) AS shadow_ratio, round(avg((p > bright)::INT), 5) AS highlight_ratio FROM m JOIN q USING (vec_id, region) GROUP BY ALL"""
+SELECT vec_id, region, round(avg(p) + 1e-7, 5) AS l_mean, round(stddev_pop(p) + 1e-7, 5) AS l_std, round(any_value(bright - dark) + 1e-7, 5) AS l_contrast, 0.0::DOUBLE AS sat_mean, round(avg(v) + 1e-7, 5) AS value_mean,
+  round(avg((p < dark)::INT) + 1e-7, 5) AS shadow_ratio, round(avg((p > bright)::INT) + 1e-7, 5) AS highlight_ratio FROM m JOIN q USING (vec_id, region) GROUP BY ALL"""
 _HALVES = {"l": "x < (7 + x2) // 2", "r": "x >= (7 + x2) // 2", "t": "y < (5 + y2) // 2", "b": "y >= (5 + y2) // 2"}
 ASYMMETRY = f"""WITH {LIGHT}, f AS (SELECT vec_id, {", ".join(f"avg(p) FILTER ({w}) AS {k}" for k, w in _HALVES.items())} FROM m WHERE region = 'face' GROUP BY 1)
-SELECT vec_id, round(l - r, 5) AS phys_face_lr_luma_diff, round(t - b, 5) AS phys_face_tb_luma_diff, round((SELECT stddev_pop(z) FROM unnest([l, r, t, b]) u(z)), 5) AS phys_face_luma_quadrant_imbalance FROM f"""
+SELECT vec_id, round(l - r + 1e-7, 5) AS phys_face_lr_luma_diff, round(t - b + 1e-7, 5) AS phys_face_tb_luma_diff, round((SELECT stddev_pop(z) FROM unnest([l, r, t, b]) u(z)) + 1e-7, 5) AS phys_face_luma_quadrant_imbalance FROM f"""
 
 
 def _crops(spark, d) -> DataFrame:
@@ -168,7 +170,7 @@ def _patch_cap(spark, d) -> DataFrame:
         p = kernels.patches(gray, mask)
         return pa.RecordBatch.from_arrays([pa.array([key] * len(p), pa.int32()), pa.array(range(len(p)), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 136])], ["label", "k", "first", "middle"])
 
-    return _label_frames(spark, d, emit, "label int, k int, first double, middle double").select("label", "k", F.round("first", 5).alias("first"), F.round("middle", 5).alias("middle"))
+    return _label_frames(spark, d, emit, "label int, k int, first double, middle double").select("label", "k", F.round(F.col("first") + SHIFT, 5).alias("first"), F.round(F.col("middle") + SHIFT, 5).alias("middle"))
 
 
 def _patch_similarity(spark, d) -> DataFrame:
@@ -180,17 +182,17 @@ def _patch_similarity(spark, d) -> DataFrame:
         r = kernels.patch(frame)
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([r[f"patch_face_{n}"]], pa.float64()) for n in names)], ["label", *names])
 
-    return _label_frames(spark, d, emit, "label int, " + ", ".join(f"{n} double" for n in names)).select("label", *(F.round(n, 5).alias(n) for n in names))
+    return _label_frames(spark, d, emit, "label int, " + ", ".join(f"{n} double" for n in names)).select("label", *(F.round(F.col(n) + SHIFT, 5).alias(n) for n in names))
 
 
 PATCHES = f"""lb AS (SELECT DISTINCT label::INT AS label FROM embeddings), px AS (SELECT label, label % 16 AS y0, y, x, (x * 7 + y * y + label * 13) % 251 AS v FROM lb, range(0, {GRID}) a(y), range(0, {GRID}) b(x) WHERE y >= label % 16),
 sq AS (SELECT label, (y - y0) // 16 AS i, x // 16 AS j, (y - y0) % 16 * 16 + x % 16 AS c, v FROM px WHERE x < {GRID - 16} AND (y - y0) // 16 * 16 < {GRID - 1} - y0 - 15),
 nm AS (SELECT label, i, j, avg(v) AS a, stddev_pop(v) AS s FROM sq GROUP BY ALL), od AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY i, j) - 1)::INT AS k FROM nm),
 st AS (SELECT label, k, c, (v - a) / (s + 1e-6) AS z FROM sq JOIN od USING (label, i, j) WHERE k < {kernels.MOST_PATCHES})"""
-PATCH_CAP = f"WITH {PATCHES} SELECT label, k, round(max(z) FILTER (c = 0), 5) AS first, round(max(z) FILTER (c = 136), 5) AS middle FROM st GROUP BY label, k"
+PATCH_CAP = f"WITH {PATCHES} SELECT label, k, round(max(z) FILTER (c = 0) + 1e-7, 5) AS first, round(max(z) FILTER (c = 136) + 1e-7, 5) AS middle FROM st GROUP BY label, k"
 PATCH_SIMILARITY = f"""WITH {PATCHES}, v AS (SELECT label, k, list(z ORDER BY c) AS z FROM st GROUP BY ALL), u AS (SELECT label, k, z, sqrt(list_dot_product(z, z)) AS n FROM v),
 s AS (SELECT a.label, list_dot_product(a.z, b.z) / (a.n * b.n) AS s FROM u a JOIN u b ON a.label = b.label AND a.k < b.k)
-SELECT label, round(avg(s), 5) AS sim_mean, round(stddev_pop(s), 5) AS sim_std, round(median(s), 5) AS sim_median, round(quantile_cont(s, 0.95), 5) AS sim_p95, (SELECT count(*) FROM u WHERE u.label = s.label)::DOUBLE AS patch_count FROM s GROUP BY label"""
+SELECT label, round(avg(s) + 1e-7, 5) AS sim_mean, round(stddev_pop(s) + 1e-7, 5) AS sim_std, round(median(s) + 1e-7, 5) AS sim_median, round(quantile_cont(s, 0.95) + 1e-7, 5) AS sim_p95, (SELECT count(*) FROM u WHERE u.label = s.label)::DOUBLE AS patch_count FROM s GROUP BY label"""
 
 BASIC = list(kernels.BASIC)
 _PHYSICS = ["l_mean", "l_std", "l_contrast", "sat_mean", "value_mean", "shadow_ratio", "highlight_ratio"]
@@ -202,7 +204,7 @@ QUERIES = {
     "laplacian_frames": (lambda s, d: _regions(s, d, "lap", kernels.laplacian, [*BASIC, "variance"]), LAPLACIAN),
     "noise_frames": (lambda s, d: _regions(s, d, "noise", kernels.noise, ["mean", "std", "variance", "rms", "mad", "p95_abs"]), NOISE),
     "physics_frames": (lambda s, d: _regions(s, d, "phys", kernels.physics, _PHYSICS), PHYSICS),
-    "asymmetry_frames": (lambda s, d: _numbers(s, d, _FACE, kernels.physics).select("vec_id", *(F.round(n, 5).alias(n) for n in _FACE)), ASYMMETRY),
+    "asymmetry_frames": (lambda s, d: _numbers(s, d, _FACE, kernels.physics).select("vec_id", *(F.round(F.col(n) + SHIFT, 5).alias(n) for n in _FACE)), ASYMMETRY),
     "largest_patch": (_crops, CROPS),
     "patch_cap": (_patch_cap, PATCH_CAP),
     "patch_similarity": (_patch_similarity, PATCH_SIMILARITY),
