@@ -119,7 +119,7 @@ def _members(classes: DataFrame) -> DataFrame:
         .filter(F.size("cs") > 1)
         .select("id", "n", F.explode(F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.xxhash64(x, y))))).alias("key"))
     )
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     return keys.join(sizes, "key").select("key", "id", "n")
 
 
@@ -178,20 +178,23 @@ def _link(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
     for step in range(ROUNDS + 1):
         held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         # The smallest set of a bucket leaves most room; who has none even with it meets nobody there.
-        least = held.groupBy("key").agg(F.min("n").alias("least"))
-        # Written right behind the join, so that Spark may split a hot bucket among tasks; sizes are combined before their shuffle.
+        # What is known of a bucket is combined before its shuffle and written before it is joined, and the join is written, too:
+        # with plain exchanges on both sides Spark may split a hot bucket among tasks.
+        least = written(held.groupBy("key").agg(F.min("n").alias("least")), "least")
         room = _room(F.col("own"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent)
         held = written(held.join(least, "key").filter(room), "held")
         buckets = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-        held = written(held.join(buckets.select("key", "size"), "key").select("key", "id", "n", "own", "size", "component"), "mixed")
+        buckets = written(buckets.select("key", "size"), "buckets")
+        held = written(held.join(buckets, "key").select("key", "id", "n", "own", "size", "component"), "mixed")
         # The sum of a class's bucket sizes: what everything around resembles scores highest and makes a good centre.
         weight = held.groupBy("id").agg(F.sum("size").alias("w"))
         if step == ROUNDS:
             pairs = _rest(held, weight, sets, percent)
         else:
             small = (F.col("size") <= SMALL) & F.lit(step > 0)
-            large = held.filter(~small).join(weight, "id")
-            centre = large.groupBy("key").agg(F.max(F.struct("w", "id", "n", "own", "component")).alias("c"))
+            large = held.filter(~small)
+            centre = large.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", "id", "n", "own", "component")).alias("c"))
+            centre = written(centre, "centres")
             star = large.join(centre, "key").filter((F.col("id") != F.col("c.id")) & (F.col("component") != F.col("c.component")))
             if step == 0:
                 # A class only needs the best of its buckets' centres at first.
@@ -230,7 +233,7 @@ def _across(held: DataFrame, percent: int) -> DataFrame:
     ).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
 
 
-#: Parts that the comparisons of one joined bucket are dealt to.
+#: Parts at most that the comparisons of one joined bucket are dealt to; small buckets need fewer.
 PARTS = 32
 
 
@@ -241,20 +244,21 @@ def _rest(held: DataFrame, weight: DataFrame, sets: DataFrame, percent: int) ->
     the centre is known. A link allows a difference of a certain width, and sizes of D can't be further apart than it, so
     only neighbouring bands of d meet.
     """
-    lowest = held.groupBy("key").agg(F.min("id").alias("v"))
+    lowest = written(held.groupBy("key").agg(F.min("id").alias("v")), "lowest")
     joined = components(held.join(lowest, "key").select(F.col("id").alias("u"), "v"))
     rows = held.select("id", "n", "own", "component").distinct().join(weight, "id").join(joined.select(F.col("node").alias("id"), F.col("component").alias("key")), "id")
     rows = written(rows, "rest")
-    centre = rows.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("c"), F.max("n").alias("most"))
+    parts = F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / SMALL)).cast("int")
+    centre = written(rows.groupBy("key").agg(F.max(F.struct("w", "id", "n")).alias("c"), F.max("n").alias("most"), parts.alias("parts")), "centres")
     rows = rows.join(centre, "key").withColumns({"u": F.greatest("id", "c.id"), "v": F.least("id", "c.id")})
     both = _intersections(rows.filter("u <> v").select("u", "v"), sets)
     d = F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("n") + F.col("c.n") - 2 * F.col("both"))
     width = F.floor((100 - percent) * 2 * F.col("most") / (100 + percent)) + 1
     rows = rows.join(both.select("u", "v", "both"), ["u", "v"], "left").withColumn("d", d)
-    rows = written(rows.select("key", "id", "n", "own", "component", "d", F.floor(F.col("d") / width).alias("band")), "differences")
-    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).alias("l")
+    rows = written(rows.select("key", "id", "n", "own", "component", "d", "parts", F.floor(F.col("d") / width).alias("band")), "differences")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("l")
     right = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("r")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
     return left.join(
         right,
         (F.col("l.key") == F.col("r.key"))
