@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -43,6 +43,13 @@ def video_stats(long: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataF
     )
 
 
+def means_in_order(frames: DataFrame, values: dict[str, Column], order: list[str], video: str = "video_id") -> DataFrame:
+    """(video, names of values): their means, added up in ``order``, so that last bits don't hang on how rows are dealt out."""
+    every = Window.partitionBy(video).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    means = frames.select(video, *(F.avg(v).over(every).alias(k) for k, v in values.items()))
+    return means.groupBy(video).agg(*(F.first(k).alias(k) for k in values))
+
+
 def missing_ratio(stats: DataFrame, video: str = "video_id") -> DataFrame:
     """(video, missing_feature_ratio): the share of NaN among the stats and the two counts, which are never missing."""
     holes = sum((F.when(F.isnan(s), 1).otherwise(0) for s in STATS), F.lit(0))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specula import contracts
+from specula.functions import scalars
 from specula.operators import aggregate, boxes, gold, ingest, quality, stats
 from specula.sources import tables
 
@@ -195,3 +196,11 @@ def test_best_detection_and_schedule(spark):
     s = spark.createDataFrame([("a", i, i == 2) for i in range(7)], "video_id STRING, frame_id INT, found BOOLEAN")
     use = lambda **k: [r["use_detection"] for r in boxes.schedule(s, 3, **k).orderBy("frame_id").collect()]
     assert use(has_tracker=True) == [True, True, True, True, False, False, True] and use() == [True] * 7
+
+
+def test_means_in_order(spark):
+    rows = [("a", k, v) for k, v in enumerate([1e16, 1.0, -1e16, 1.0, float("nan"), None])] + [("b", 0, float("nan"))]
+    frames = spark.createDataFrame(rows, "video_id string, frame_id int, m double")
+    for parts in (1, 3, 7):
+        got = aggregate.means_in_order(frames.orderBy(F.desc("frame_id")).repartition(parts), {"m": scalars.finite("m")}, ["frame_id"]).collect()
+        assert {tuple(r) for r in got} == {("a", 0.25), ("b", None)}
